@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The repeated fields and the kind of their elements (fixed values of the record format).
@@ -132,14 +132,14 @@ def link(parsed: DataFrame, key: str) -> DataFrame:
     """(record, key, kind, path, parent, child_id) of every element, supporting facts resolved to a chunk.
 
     A fact stands for the chunk of its record with its id, else for the last chunk with its title ('' if that has no
-    id), else ''. One exchange by record serves the pivot, the chunk lists and the join.
+    id), else ''. One exchange by record serves the pivot and the chunk lists of the records.
     """
     rows = pivot(parsed.repartition("record"), key, None, (KEY, "id", "title"))
     rows = rows.select("record", key, "kind", "path", "parent", "ordinal", "title", own_id().alias("own"))
-    chunks = rows.where(F.col("kind") == "chunk").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("ordinal", "own", "title"))).alias("chunks"))
-    joined = rows.join(chunks, "record", "left")
+    chunk = F.when(F.col("kind") == "chunk", F.struct("ordinal", "own", "title"))
+    rows = rows.withColumn("chunks", F.array_sort(F.collect_list(chunk).over(Window.partitionBy("record"))))
     with_id = F.exists("chunks", lambda c: (c["own"] == F.col("own")) & (c["own"] != ""))
     with_title = F.try_element_at(F.filter("chunks", lambda c: c["title"] == F.col("title")), F.lit(-1))["own"]
-    fact = F.when(F.coalesce(with_id, F.lit(False)), F.col("own")).otherwise(F.coalesce(with_title, F.lit("")))
+    fact = F.when(with_id, F.col("own")).otherwise(F.coalesce(with_title, F.lit("")))
     child = F.when(F.col("kind") == "supporting_fact", fact).otherwise(F.col("own"))
-    return joined.select("record", key, "kind", "path", "parent", child.alias("child_id"))
+    return rows.select("record", key, "kind", "path", "parent", child.alias("child_id"))
