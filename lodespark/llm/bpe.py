@@ -27,6 +27,8 @@ FOLD_BYTES = 48
 #: Words in a block at most, so that a block of very long documents stays small.
 BLOCK_WORDS = 2_000_000
 NO_RANK = 2**31 - 1
+#: Factor and modulus that spread the pairs over the slots of the rank map; a product stays below 2^63.
+MIX, PRIME = 2654435, 2147483629
 
 
 def byte_symbols() -> list[str]:
@@ -93,9 +95,10 @@ def _rank_map(path: str) -> tuple[str, int, int]:
     buckets, slots = 16381, 98299
     for _ in range(64):
         groups: list[list[int]] = [[] for _ in range(buckets)]
-        for i, k in enumerate((keys % buckets).tolist()):
+        mixed = keys * MIX % PRIME
+        for i, k in enumerate((mixed % buckets).tolist()):
             groups[k].append(i)
-        home = (keys % 2147483629 % slots).tolist()
+        home = (mixed % slots).tolist()
         taken, shifts = [-1] * slots, np.zeros(buckets, dtype=np.int64)
         for bucket in sorted(range(buckets), key=lambda g: -len(groups[g])):
             members = groups[bucket]
@@ -136,7 +139,8 @@ def fold_merges(symbols: Column, path: str) -> Column:
     def encode(table: Column, word: Column) -> Column:
         def slot(a: Column, b: Column) -> tuple[Column, Column]:
             key = a.cast("bigint") * 65536 + b
-            return key, ((key % 2147483629 % slots + F.get(table["shifts"], (key % buckets).cast("int"))) % slots).cast("int")
+            mixed = key * MIX % PRIME
+            return key, ((mixed % slots + F.get(table["shifts"], (mixed % buckets).cast("int"))) % slots).cast("int")
 
         def rank(a: Column, b: Column) -> Column:
             key, at = slot(a, b)
@@ -177,7 +181,7 @@ def _block_maker(vocabulary: Vocabulary):
         flat = words.flatten().dictionary_encode()
         flat = flat if isinstance(flat, pa.DictionaryArray) else flat.combine_chunks()
         texts = flat.dictionary.cast(pa.large_binary())
-        lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        lengths = np.array(pc.binary_length(texts))
         symbols = table[np.frombuffer(b"".join(texts.to_pylist()), dtype=np.uint8)]
         ends = np.cumsum(lengths)
         long = np.flatnonzero(lengths > FOLD_BYTES)
