@@ -27,7 +27,7 @@ FOLD_BYTES = 48
 #: Words in a block at most, so that a block of very long documents stays small.
 BLOCK_WORDS = 2_000_000
 NO_RANK = 2**31 - 1
-#: Factor and modulus that spread the pairs over the slots of the rank map; a product stays below 2^63.
+#: First factor tried and modulus that spread the pairs over the slots of the rank map; a product stays below 2^63.
 MIX, PRIME = 2654435, 2147483629
 
 
@@ -87,15 +87,15 @@ def merge_heap(ids: list[int], vocabulary: Vocabulary) -> list[int]:
 
 
 @lru_cache(maxsize=4)
-def _rank_map(path: str) -> tuple[str, int, int]:
-    """A literal of the rank map as a perfect hash: SQL of (shifts, keys, ranks, ids), buckets and slots."""
+def _rank_map(path: str) -> tuple[str, int, int, int]:
+    """A literal of the rank map as a perfect hash: SQL of (shifts, keys, ranks, ids), factor, buckets and slots."""
     pairs = load(path).pairs
     keys = np.array([a * 65536 + b for a, b in pairs], dtype=np.int64)
     values = np.array(list(pairs.values()), dtype=np.int64)
     buckets, slots = 16381, 98299
-    for _ in range(64):
+    for mix in range(MIX, MIX + 512, 2):
         groups: list[list[int]] = [[] for _ in range(buckets)]
-        mixed = keys * MIX % PRIME
+        mixed = keys * mix % PRIME
         for i, k in enumerate((mixed % buckets).tolist()):
             groups[k].append(i)
         home = (mixed % slots).tolist()
@@ -117,14 +117,13 @@ def _rank_map(path: str) -> tuple[str, int, int]:
                 break
         else:
             break
-        buckets, slots = buckets + 2, slots + 2
     else:
         raise ValueError("no perfect hash found")
     taken = np.array(taken)
     filled = taken >= 0
     held = np.where(filled, keys[taken], -1), np.where(filled, values[taken, 0], NO_RANK), np.where(filled, values[taken, 1], -1)
     arrays = [f"cast(split('{','.join(map(str, a.tolist()))}', ',') as array<{t}>)" for a, t in ((shifts, "int"), (held[0], "bigint"), (held[1], "int"), (held[2], "int"))]
-    return f"array(named_struct('shifts', {arrays[0]}, 'keys', {arrays[1]}, 'ranks', {arrays[2]}, 'ids', {arrays[3]}))", buckets, slots
+    return f"array(named_struct('shifts', {arrays[0]}, 'keys', {arrays[1]}, 'ranks', {arrays[2]}, 'ids', {arrays[3]}))", mix, buckets, slots
 
 
 def fold_merges(symbols: Column, path: str) -> Column:
@@ -133,13 +132,13 @@ def fold_merges(symbols: Column, path: str) -> Column:
     The state of the fold is the word's ids with the rank of each neighbouring pair. A step merges the first pair of
     the lowest rank and looks up the two pairs that this makes; a word of n bytes takes n - 1 steps at most.
     """
-    literal, buckets, slots = _rank_map(path)
+    literal, mix, buckets, slots = _rank_map(path)
     none = F.lit(NO_RANK)
 
     def encode(table: Column, word: Column) -> Column:
         def slot(a: Column, b: Column) -> tuple[Column, Column]:
             key = a.cast("bigint") * 65536 + b
-            mixed = key * MIX % PRIME
+            mixed = key * mix % PRIME
             return key, ((mixed % slots + F.get(table["shifts"], (mixed % buckets).cast("int"))) % slots).cast("int")
 
         def rank(a: Column, b: Column) -> Column:
