@@ -28,7 +28,7 @@ FOLD_BYTES = 48
 BLOCK_WORDS = 2_000_000
 NO_RANK = 2**31 - 1
 #: First factor tried and modulus that spread the pairs over the slots of the rank map; a product stays below 2^63.
-MIX, PRIME = 2654435, 2147483629
+MIX, PRIME = 2654435, 4294967291
 
 
 def byte_symbols() -> list[str]:
