@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import bpe, leakage, mojibake, splitting
+from lodespark.llm import bpe, leakage, mojibake, neardup, splitting
 from lodespark.llm.sql import SQL
 from lodespark.session import table
 
@@ -17,6 +17,20 @@ __all__ = ["QUERIES", "SQL"]
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of the entries of samples.chunks that have a chunk; the title counts as text."""
+    c = table(spark, sf_dir, "samples").select(F.explode("chunks").alias("c")).select("c.id", "c.title", "c.chunk")
+    return c.where(F.col("chunk").rlike(r"(?U)[^\s]")).select("id", F.concat_ws(" ", "title", "chunk").alias("text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(_entries(spark, sf_dir), 0.7).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_classes(_entries(spark, sf_dir), 0.7)
+
+
 def _long_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunk_metadata").select(F.lit("chunk_metadata").alias("origin"), F.col("chunk_id").alias("item_id"), F.col("chunk_text").alias("text"))
     entries = table(spark, sf_dir, "samples").select(F.explode("chunks").alias("c")).select(F.lit("samples").alias("origin"), F.col("c.id").alias("item_id"), F.col("c.chunk").alias("text"))
@@ -61,4 +75,4 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}

@@ -3,6 +3,14 @@
 _WORDS = "regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
 
 SQL = {
+    "p2_found": """
+        WITH entries AS (
+            SELECT DISTINCT c.id AS id, list_distinct(regexp_extract_all(lower(concat_ws(' ', c.title, c.chunk)), '[\\p{L}\\p{N}]+')) AS w
+            FROM (SELECT unnest(chunks) AS c FROM samples) WHERE c.chunk IS NOT NULL AND trim(c.chunk, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) <> ''
+        ), e AS (SELECT id, w, length(w) AS n FROM entries WHERE length(w) > 0),
+        t AS (SELECT id, n, unnest(w) AS tok FROM e),
+        o AS (SELECT a.id AS x, b.id AS y, a.n AS n, b.n AS m, count(*) AS c FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY ALL)
+        SELECT DISTINCT x AS chunk_id_a, y AS chunk_id_b FROM o WHERE c * 10 >= (n + m - c) * 7""",
     "p5_found": """
         WITH items AS (
             SELECT 'chunk_metadata' AS origin, chunk_id AS item_id, chunk_text AS text FROM chunk_metadata
