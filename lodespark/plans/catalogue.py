@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodespark.plans import core_queries
+from lodespark.plans import core_queries, retrieval_queries, retrieval_sql
 
-QUERIES = {**core_queries.QUERIES}
-SQL = {**core_queries.SQL}
-FLAGSHIP = core_queries.p3_key_stats
+QUERIES = {**retrieval_queries.QUERIES, **core_queries.QUERIES}
+SQL = {**retrieval_sql.SQL, **core_queries.SQL}
+FLAGSHIP = retrieval_queries.n6_associative

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    Shuffle files of lineages that nothing refers to any more are let go at once instead of whenever the driver's
+    memory happens to be collected, so that the steps of a long job don't add up on the executors' disks.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
