@@ -120,17 +120,15 @@ def rouge(predicted: str, gold: str) -> tuple[float, float, float]:
     return bag(1), bag(2), f(row[-1], len(a), len(b))
 
 
-@F.pandas_udf("rouge1 double, rouge2 double, rougeL double")
-def rouge_scores(predicted: pd.Series, golds: pd.Series) -> pd.DataFrame:
+def rouge_scores(predicted: Column, golds: Column) -> Column:
     """The scores against the gold answer of the greatest ROUGE-L, the first among equals; 0 without gold answers."""
-    out = []
-    for p, gs in zip(predicted, golds, strict=True):
-        best = (0.0, 0.0, 0.0)
-        found = False
-        for g in () if gs is None else gs:
-            if g is not None and g.strip():
-                score = rouge(p or "", g)
-                if not found or score[2] > best[2]:
-                    best, found = score, True
-        out.append(best)
-    return pd.DataFrame(out, columns=["rouge1", "rouge2", "rougeL"])
+
+    @F.pandas_udf("rouge1 double, rouge2 double, rougeL double")
+    def run(predicted: pd.Series, golds: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, gs in zip(predicted, golds, strict=True):
+            scores = [rouge(p or "", g) for g in (() if gs is None else gs) if g is not None and g.strip()]
+            out.append(max(scores, key=lambda s: s[2], default=(0.0, 0.0, 0.0)))
+        return pd.DataFrame(out, columns=["rouge1", "rouge2", "rougeL"])
+
+    return run(predicted, golds)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per Spark context, so that no path has to be set on them."""
+    context = spark.sparkContext
+    if not getattr(context, "_lodespark_shipped", False):
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="lodespark-")) / "lodespark.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in package.rglob("*.py"):
+                archive.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(target))
+        context._lodespark_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
@@ -35,11 +50,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    Shuffle files of lineages that nothing refers to any more are let go at once instead of whenever the driver's
-    memory happens to be collected, so that the steps of a long job don't add up on the executors' disks.
+    What lineages before it left behind is let go at once instead of whenever the driver's memory happens to be
+    collected, so that the steps of a long job don't add up on the executors' disks.
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     out = df.checkpoint()
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    release(spark)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what only lineages hold that nothing refers to any more: shuffle files and, where Spark is set to
+    clean them, checkpoint files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
