@@ -44,6 +44,8 @@ COMMON = 0.35
 LARGE = 128
 #: Query-group cells that are bounded at once.
 CELLS = 2_000_000
+#: Cells of a word that are bounded in one go, and queries in a run of larger ones.
+SMALL_CELLS, RUN = 20_000, 64
 #: Roles of a row of the matrix.
 QUERY, GROUP = 1, 2
 
@@ -254,7 +256,7 @@ def _matrix(classes: DataFrame, total: int) -> DataFrame:
 def _open(part: pa.Table, s: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query classes, groups, sizes of the queries) of a bucket that the bound leaves."""
     word, cell = part["word"].to_numpy(), part["cell"].to_numpy()
-    order = np.lexsort((cell, word))
+    order = np.lexsort((part["size"].to_numpy(), cell, word))
     word, cell = word[order], cell[order]
     role, owner, size, largest = (part[c].to_numpy()[order] for c in ("role", "owner", "size", "largest"))
     o0, o1, a0, a1 = (part[c].to_numpy()[order].view(U) for c in ("o0", "o1", "a0", "a1"))
@@ -269,10 +271,15 @@ def _open(part: pa.Table, s: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray,
         queries, groups = a + np.flatnonzero(role[a:b] & QUERY), a + np.flatnonzero(role[a:b] & GROUP)
         if not len(queries) or not len(groups):
             continue
-        g0, g1, h0, h1, low, high = (x[groups][None] for x in (o0, o1, a0, a1, size, largest))
-        step = max(1, CELLS // len(groups))
+        # Queries and groups go by size, so that a run of queries meets only groups of sizes in its reach.
+        step = len(queries) if len(queries) * len(groups) < SMALL_CELLS else max(1, min(RUN, CELLS // len(groups)))
+        all_groups, reached = groups, np.maximum.accumulate(largest[groups])
         for i in range(0, len(queries), step):
             q = queries[i : i + step]
+            groups = all_groups[np.searchsorted(reached, size[q[0]]) : np.searchsorted(size[all_groups], den * size[q[-1]] // num, "right")]
+            if not len(groups):
+                continue
+            g0, g1, h0, h1, low, high = (x[groups][None] for x in (o0, o1, a0, a1, size, largest))
             q0, q1, qs = o0[q][:, None], o1[q][:, None], size[q][:, None]
             apart = np.bitwise_count(q0 & ~g0) + np.bitwise_count(q1 & ~g1) + np.bitwise_count(h0 & ~q0) + np.bitwise_count(h1 & ~q1)
             # The larger side has at most |x| / s words; those in one only are (1 - s) / (1 + s) of both sizes at most.
@@ -305,7 +312,7 @@ def class_links(texts: DataFrame, similarity: float = 0.7, slice_rows: int = SLI
     classes = cut(_described(tokenised, context.broadcast(counts), total, s, slice_rows))
     members = cut(tokenised.select("id", "class").distinct())
     del tokenised
-    release(texts.sparkSession)
+    release(texts.sparkSession, rounds=3)
     schema = pa.schema([("a", pa.int64()), ("gid", pa.int64()), ("sa", pa.int64())])
 
     def opened(part: pa.Table) -> pa.Table:
