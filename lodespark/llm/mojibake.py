@@ -27,7 +27,7 @@ WRITTEN = ("cp1252", "cp850", "mac-roman")
 #: Letters outside ASCII that the corpus' languages use (fixed values: French, German, Spanish, English loans).
 LETTERS = frozenset("àâäæçéèêëîïôœöùûüÿñáíóúßÀÂÄÆÇÉÈÊËÎÏÔŒÖÙÛÜŸÑÁÍÓÚẞ")
 #: Marks outside ASCII that proper text in those languages uses.
-MARKS = frozenset("“”„‘’‚«»–—…¡¿€£°§©®™±½¼¾·•ºª× ​­ ")
+MARKS = frozenset("²³¹“”„‘’‚«»–—…¡¿€£°§©®™±½¼¾·•ºª× ​­ ")
 LOST = "�"
 #: Characters that no misreading by itself leaves behind: small letters and quotes. Bytes of a UTF-8 sequence always give one outside this set.
 SAFE = "".join(sorted(c for c in LETTERS if c.islower())) + "“”„’–—…¡¿"
@@ -85,7 +85,8 @@ def _cost(text: str) -> float:
                 total += 3.0
             elif char in LETTERS:
                 # A capital inside a word of small letters is what bytes above 0xC0 turn into.
-                total += 1.6 if char.isupper() and before.islower() else 0.3
+                inner = before.islower() or (before.isalpha() and text[i + 1 : i + 2].islower())
+                total += 1.6 if char.isupper() and inner else 0.3
             elif char in MARKS:
                 inside = before.isalpha() and i + 1 < len(text) and text[i + 1].isalpha() and char not in "’‘·­​ –—"
                 total += 2.0 if inside or (before and not before.isascii() and before not in MARKS and char not in "”’»…“–—") else 0.4
@@ -135,10 +136,11 @@ class Found:
 @lru_cache(maxsize=1 << 17)
 def restore_word(word: str) -> Found:
     """The cheapest text reachable from ``word``, and whether ``word`` is garbled (restorable or not)."""
-    given = _cost(word)
+    start = html.unescape(word) if "&" in word else word
+    given = _cost(start)
     if given < PROVEN:
         return Found(word, False)
-    best, seen, queue = (given, 0.0, word), {hash(word)}, [(given, 0.0, word)]
+    best, seen, queue = (given, 0.0, start), {hash(start)}, [(given, 0.0, start)]
     while queue:
         cost, spent, text = heapq.heappop(queue)
         best = min(best, (cost, spent, text))

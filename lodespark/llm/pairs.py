@@ -437,7 +437,7 @@ WITH_REFERENCE = (*range(25, 35), 39)
 def train(rows: list[tuple[str, str | None, str | None]]) -> Model:
     """A model from (question, answer, reference) rows; thresholds from the fifth of the questions kept out."""
     made = _make(rows)
-    kept_out = np.array([xxhash.xxh32_intdigest(q, seed=3) % 5 == 0 for q, *_ in made])
+    kept_out = np.array([xxhash.xxh32_intdigest(q, seed=3) % 5 == 0 for q, *_ in made], dtype=bool)
     lexicon = _lexicon(_whole(rows))
     features = [describe(q, a, r, lexicon) for q, a, r, _ in made]
     labels = np.array([label or "" for *_, label in made])
