@@ -73,12 +73,12 @@ def embed_texts(texts: DataFrame, text: str, embedder: Embedder, out: str = "emb
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zero = [0.0] * embedder.dimension
         for batch in batches:
-            vectors = with_retries(lambda given=batch["t"].tolist(): embedder.embed([t[:EMBED_CHARS] for t in given]), default=[zero] * len(batch))
-            yield pd.DataFrame({"t": batch["t"], out: [v if len(v) == embedder.dimension else zero for v in vectors]})
+            vectors = with_retries(lambda given=batch["__text"].tolist(): embedder.embed([t[:EMBED_CHARS] for t in given]), default=[zero] * len(batch))
+            yield pd.DataFrame({"__text": batch["__text"], out: [v if len(v) == embedder.dimension else zero for v in vectors]})
 
-    distinct = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).distinct()
-    vectors = distinct.mapInPandas(run, f"t string, `{out}` array<float>")
-    joined = texts.join(vectors, texts[text] == vectors["t"], "left").drop("t")
+    distinct = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
+    vectors = distinct.mapInPandas(run, f"__text string, `{out}` array<float>")
+    joined = texts.join(vectors, texts[text] == vectors["__text"], "left").drop("__text")
     return joined.withColumn(out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0).cast("float"), embedder.dimension)))
 
 

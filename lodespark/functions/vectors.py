@@ -74,7 +74,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "quer
     found: DataFrame | None = None
 
     def part(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), -1)))
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64).reshape(len(block), len(block[0][1]) if block else 0)))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, vectors = shared.value

@@ -29,7 +29,7 @@ def passage_blocks(chunks: Column, raw: bool = False) -> Column:
         if raw:
             head = F.concat(number, F.lit(" (ID: "), c["chunk_id"], F.lit(", From Document: "), F.coalesce(c["doc_id"], F.lit("unknown")), F.lit(", Title: "), F.coalesce(c["title"], F.lit("none")), F.lit(")"))
         else:
-            head = F.concat(number, F.lit(" (Relevance: "), F.format_number(F.coalesce(c["similarity"], F.lit(0.0)), "0.00"), F.lit(")"))
+            head = F.concat(number, F.lit(" (Relevance: "), F.format_string("%.2f", F.coalesce(c["similarity"], F.lit(0.0))), F.lit(")"))
         return F.concat(head, F.lit(":\n"), F.coalesce(c["text"], F.lit("")))
 
     return F.array_join(F.transform(chunks, block), "\n\n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from pathlib import Path
 
@@ -61,8 +62,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 1) -> None:
     """Lets go of what only lineages hold that nothing refers to any more: shuffle files and, where Spark is set to
-    clean them, checkpoint files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    clean them, checkpoint files. Spark removes them in the background; further rounds wait for what the first frees."""
+    for left in range(rounds, 0, -1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if left > 1 or rounds > 1:
+            time.sleep(0.3)
