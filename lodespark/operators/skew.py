@@ -25,8 +25,10 @@ def chunk_number(rows_per_chunk: int) -> Column:
 
 
 def levels_for(df: DataFrame, fan_in: int) -> int:
-    """Merge rounds above the chunks, from the planned number of input partitions (nothing is run)."""
-    return max(1, math.ceil(math.log(max(2, df.rdd.getNumPartitions()), fan_in)))
+    """Merge rounds above the chunks, from the size that the optimizer expects of ``df``; nothing is run for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    part = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return min(6, max(1, math.ceil(math.log(max(2, size / part), fan_in))))
 
 
 def tree_aggregate(df: DataFrame, keys: list[str], states: dict[str, tuple[str, Column]], rows_per_chunk: int = 1 << 20, fan_in: int = 16, levels: int | None = None) -> DataFrame:
