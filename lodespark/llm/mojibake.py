@@ -88,7 +88,7 @@ def _cost(text: str) -> float:
                 inner = before.islower() or (before.isalpha() and text[i + 1 : i + 2].islower())
                 total += 1.6 if char.isupper() and inner else 0.3
             elif char in MARKS:
-                inside = before.isalpha() and i + 1 < len(text) and text[i + 1].isalpha() and char not in "’‘·­​ –—"
+                inside = before.isalpha() and (char in "±×" or (text[i + 1 : i + 2].isalpha() and char not in "’‘\u00ad\u200b –—" and (before, text[i + 1]) != ("l", "l")))
                 total += 2.0 if inside or (before and not before.isascii() and before not in MARKS and char not in "”’»…“–—") else 0.4
             elif "\x80" <= char <= "\x9f":
                 total += 3.0
