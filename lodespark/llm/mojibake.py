@@ -39,7 +39,11 @@ SWAP = 0.6
 MAX_STATES = 64
 _ENTITY = r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"
 _ODD = rf"[^\x00-\x7F{SAFE}]"
-_SUSPECT = re.compile(rf"[^ \t\r\n]*?(?:{_ODD}|{_ENTITY})[^ \t\r\n]*")
+_WORD = re.compile(r"[^ \t\r\n]+")
+_SUSPECT = re.compile(rf"{_ODD}|{_ENTITY}")
+#: Longer words are searched in parts: runs outside ASCII with a character on either side.
+LONG_WORD = 80
+_PART = re.compile(rf"[!-~]?[^\x00-\x7F]{{1,240}}[!-~]?|{_ENTITY}")
 
 
 def _table(name: str) -> tuple[list[str], dict[str, int]]:
@@ -88,7 +92,7 @@ def _cost(text: str) -> float:
                 inner = before.islower() or (before.isalpha() and text[i + 1 : i + 2].islower())
                 total += 1.6 if char.isupper() and inner else 0.3
             elif char in MARKS:
-                inside = before.isalpha() and (char in "±×" or (text[i + 1 : i + 2].isalpha() and char not in "’‘\u00ad\u200b –—" and (before, text[i + 1]) != ("l", "l")))
+                inside = before.isalpha() and (char in "±×" or (text[i + 1 : i + 2].isalpha() and char not in "’‘\u00ad\u200b\u00a0\u202f–—" and (before, text[i + 1]) != ("l", "l")))
                 total += 2.0 if inside or (before and not before.isascii() and before not in MARKS and char not in "”’»…“–—") else 0.4
             elif "\x80" <= char <= "\x9f":
                 total += 3.0
@@ -154,15 +158,30 @@ def restore_word(word: str) -> Found:
     return Found(best[2] if changed else word, changed or LOST in word)
 
 
+def suspects(text: str) -> Iterator[tuple[int, str]]:
+    """(place, piece) of what may be garbled: words, or parts of very long words, in linear time."""
+    for m in _WORD.finditer(text):
+        word = m.group()
+        if not word.isascii() or "&" in word:
+            if len(word) <= LONG_WORD:
+                if _SUSPECT.search(word):
+                    yield m.start(), word
+            else:
+                for part in _PART.finditer(word):
+                    if _SUSPECT.search(part.group()):
+                        yield m.start() + part.start(), part.group()
+
+
 def restore(text: str) -> tuple[bool, str]:
     """(garbled, restored text)."""
-    garbled, out, last = False, [], 0
-    for m in _SUSPECT.finditer(text):
-        found = restore_word(m.group())
+    out, last = [], 0
+    garbled = False
+    for place, piece in suspects(text):
+        found = restore_word(piece)
         if found.garbled:
             garbled = True
-            out += [text[last : m.start()], found.text]
-            last = m.end()
+            out += [text[last:place], found.text]
+            last = place + len(piece)
     return garbled, "".join([*out, text[last:]]) if garbled else text
 
 

@@ -46,3 +46,10 @@ def test_tables(spark):
     got = [(r["doc_id"], r["restored"][-3:], r["lossy"]) for r in M.garbled(df, "doc_id", "text").collect()]
     assert sorted(got, key=str) == sorted([(1, "afé", False), (1, "afé", False), (5, "été", False), (None, "rès", False), (6, "a�b", True)], key=str)
     assert M.garbled(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_very_long_words_take_linear_time():
+    assert M.restore("x" * 2_000_000) == (False, "x" * 2_000_000)
+    hit, restored = M.restore("xÃ©" * 50_000)
+    assert hit and restored == "xé" * 50_000
+    assert M.restore("é" * 100_000 + "ñ" * 100_000)[0] is False
