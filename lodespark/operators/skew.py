@@ -66,7 +66,7 @@ def tree_distinct(df: DataFrame, keys: list[str], value: str, name: str, **tree:
 def field_rows(df: DataFrame, fields: list[str], *carry: str) -> DataFrame:
     """(field, key_value, carried columns): one row per non-null key of each named field."""
     entries = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("key_value")) for f in fields]), lambda e: e["key_value"].isNotNull())
-    return df.select(F.explode(entries).alias("e"), *carry).select("e.field", "e.key_value", *carry)
+    return df.select(F.explode(entries).alias("__e"), *carry).select("__e.field", "__e.key_value", *carry)
 
 
 def heavy_keys(df: DataFrame, fields: list[str], share: float, **tree: int) -> DataFrame:
