@@ -9,6 +9,7 @@ and the last merge of even the heaviest key reads only those. No reducer ever re
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,4 +75,5 @@ def heavy_keys(df: DataFrame, fields: list[str], share: float, **tree: int) -> D
     counts = tree_aggregate(field_rows(df, fields), ["field", "key_value"], {"mentions": ("count", F.lit(1))}, **tree)
     total = df.agg(F.count(F.lit(1)).alias("__total"))
     # One row with one number: its size is fixed.
-    return counts.join(F.broadcast(total), F.col("mentions") >= F.lit(share) * F.col("__total")).drop("__total")
+    part = Fraction(share).limit_denominator(1_000_000)
+    return counts.join(F.broadcast(total), F.col("mentions") * part.denominator >= F.col("__total") * part.numerator).drop("__total")

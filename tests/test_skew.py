@@ -33,7 +33,8 @@ def test_heavy_keys_and_fields(spark):
 
 
 def test_share_is_reached_by_equality(spark):
-    df = spark.createDataFrame([("a",)] * 2 + [(f"x{i}",) for i in range(98)], "a string")
+    # 0.02 * 350 is more than 7 in floating point.
+    df = spark.createDataFrame([("a",)] * 7 + [(f"x{i}",) for i in range(343)], "a string")
     assert [r["key_value"] for r in skew.heavy_keys(df, ["a"], 0.02).collect()] == ["a"]
 
 
