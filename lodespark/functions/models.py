@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What a model sees of a text: characters of embedding and of extraction input.
+#: What one call of a model sees: characters of embedding and of extraction input. Longer texts are embedded in pieces.
 EMBED_CHARS = 2048
 EXTRACT_CHARS = 4000
+#: Pieces embedded in one call.
+EMBED_ROWS = 10_000
 
 
 class Embedder(Protocol):
@@ -67,14 +69,45 @@ def with_retries(call: Callable[[], object], attempts: int = 3, delay: float = 1
     return default
 
 
+def embed_pieces(text: str, size: int = EMBED_CHARS) -> list[str]:
+    """``text`` in pieces of at most ``size`` characters, cut before white space where there is any."""
+    out, start = [], 0
+    while len(text) - start > size:
+        at = max(text.rfind(c, start + 1, start + size + 1) for c in " \t\r\n")
+        stop = at if at > start else start + size
+        out.append(text[start:stop])
+        start = stop
+    return [*out, text[start:]]
+
+
 def embed_texts(texts: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """``texts`` with a vector per row. Each distinct text is embedded once; blank or failed texts get the zero vector."""
+    """``texts`` with a vector per row. Each distinct text is embedded once; blank or failed texts get the zero vector.
+
+    A text longer than a model's input is embedded in pieces; its vector is the mean of theirs, weighted by their
+    lengths and scaled to length 1.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zero = [0.0] * embedder.dimension
         for batch in batches:
-            vectors = with_retries(lambda given=batch["__text"].tolist(): embedder.embed([t[:EMBED_CHARS] for t in given]), default=[zero] * len(batch))
-            yield pd.DataFrame({"__text": batch["__text"], out: [v if len(v) == embedder.dimension else zero for v in vectors]})
+            pieces = [embed_pieces(t) for t in batch["__text"]]
+            flat = [p for parts in pieces for p in parts]
+            vectors = []
+            for at in range(0, len(flat), EMBED_ROWS):
+                vectors += with_retries(lambda given=flat[at : at + EMBED_ROWS]: embedder.embed(given), default=[[]] * len(flat[at : at + EMBED_ROWS]))
+            united, at = [], 0
+            for parts in pieces:
+                own = vectors[at : at + len(parts)]
+                at += len(parts)
+                if any(len(v) != embedder.dimension for v in own):
+                    united.append(zero)
+                elif len(own) == 1:
+                    united.append(own[0])
+                else:
+                    mean = np.average(np.array(own), axis=0, weights=[len(p) for p in parts])
+                    length = np.linalg.norm(mean)
+                    united.append((mean / length if length > 0 else mean).tolist())
+            yield pd.DataFrame({"__text": batch["__text"], out: united})
 
     distinct = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
     vectors = distinct.mapInPandas(run, f"__text string, `{out}` array<float>")
@@ -93,8 +126,12 @@ def complete_prompts(rows: DataFrame, prompt: str, completer: Completer, out: st
 
 
 def extract_entities(text: Column) -> Column:
-    """Stand-in extractor: runs of capitalised ASCII words, with a type and an importance that depend on the text alone."""
-    found = F.array_distinct(F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, EXTRACT_CHARS), F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0)))
+    """Stand-in extractor: runs of capitalised ASCII words, with a type and an importance that depend on the text alone.
+
+    It calls no model and so reads the whole text, as calls over pieces within ``EXTRACT_CHARS`` would together, but
+    without a piece's end inside a run.
+    """
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0)))
 
     def entity(e: Column) -> Column:
         kind = F.when(F.contains(e, F.lit(" ")), F.lit("PERSON")).otherwise(F.lit("MISC"))

@@ -376,11 +376,20 @@ def x2_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("value") != 0).select("entity_text", "pos", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
-def x6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.explode(models.extract_entities(F.col("text"))).alias("e"))
+def _extracted(text: F.Column, docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.explode(models.extract_entities(text)).alias("e"))
     return rows.groupBy(F.col("e.text").alias("entity"), F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("documents"))
 
 
+def x6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one call of a model finds: the SQL reads no more of a text."""
+    return _extracted(F.substring("text", 1, models.EXTRACT_CHARS), table(spark, sf_dir, "documents"))
+
+
+def x6_extracted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(F.col("text"), table(spark, sf_dir, "documents"))
+
+
 def t0_index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dataclasses import replace
 
@@ -406,6 +415,6 @@ _ALL = (
     j3_new_by_id, j6_gold_answers, j7_lookup, k4_graph_nodes, k4_graph_edges, a10_graph_counts, d9_valid_documents, d11_chunks_compat, d11_chunks_clean, d13_whole_documents, d14_recursive_chunks,
     d16_entity_text, d17_trace_defaults, d19_truncated, d20_contexts, d22_previews, u4_citations, f1_normalized, f2_token_counts, f4_scores, f5_rouge, f7_digests, f11_salvaged, f13_tolerant, f14_types,
     f15_importance, f16_answers, l4_budget, l6_first_predictions, a1_sweep, a2_tokens, a6_retrieval, a7_analysis, a7_extremes, a8_runs, t1_accesses, t2_statuses, t3_memory, s4_data_points, d6_documents,
-    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, t0_index_sizes, x8_answers,
+    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, x6_extracted_whole, t0_index_sizes, x8_answers,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -120,3 +120,13 @@ def test_embedding_and_completion(spark):
     done = models.complete_prompts(df.limit(1).select(F.lit("1. Ann (Type: PERSON)").alias("p")), "p", models.EchoCompleter())
     assert done.first()["response"] == "FINAL_ANSWER_TEXT: Ann"
     assert models.with_retries(lambda: 1 / 0, attempts=2, delay=0, default="x") == "x"
+
+
+def test_long_texts_are_read_whole(spark):
+    filler = "word " * 1000
+    assert [e["text"] for e in one(spark, models.extract_entities(F.col("t")), t=f"Anna Berg {filler}Late Entity")] == ["Anna Berg", "Late Entity"]
+    df = spark.createDataFrame([(f"{filler}first",), (f"{filler}second",), ("x" * 5000,)], "t string")
+    got = {r["t"][-6:]: r["embedding"] for r in models.embed_texts(df, "t", models.HashEmbedder(64)).collect()}
+    assert got[" first"] != got["second"]
+    assert all(sum(x * x for x in v) == pytest.approx(1, abs=1e-4) for v in got.values())
+    assert "".join(models.embed_pieces(filler + "y" * 5000)) == filler + "y" * 5000 and max(map(len, models.embed_pieces(filler + "y" * 5000))) <= models.EMBED_CHARS
