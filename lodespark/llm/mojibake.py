@@ -8,6 +8,7 @@ the words that hold characters outside ASCII, once per distinct word of a task;
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import html
 import re
@@ -39,8 +40,15 @@ SWAP = 0.6
 MAX_STATES = 64
 _ENTITY = r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"
 _ODD = rf"[^\x00-\x7F{SAFE}]"
+_SMALL = "a-z" + "".join(sorted(c for c in LETTERS if c.islower()))
+_CAPITALS = "A-Z" + "".join(sorted(c for c in LETTERS if c.isupper()))
+#: Marks of ``SAFE`` between letters, which cp850 and mac-roman leave for letters. A small à, which an ellipsis may stand for, is hardly ever followed by a letter.
+_INSIDE = rf"[“”„¡¿](?<=[{_SMALL}{_CAPITALS}].)(?=[{_SMALL}])|[“”„…¡¿](?<=[{_CAPITALS}].)(?=[{_CAPITALS}])"
 _WORD = re.compile(r"[^ \t\r\n]+")
 _SUSPECT = re.compile(rf"{_ODD}|{_ENTITY}")
+_MARK = re.compile(_INSIDE)
+_QUOTE = re.compile("[“”„]")
+_EDGES = "“”„…¡¿"
 #: Longer words are searched in parts: runs outside ASCII with a character on either side.
 LONG_WORD = 80
 _PART = re.compile(rf"[!-~]?[^\x00-\x7F]{{1,240}}[!-~]?|{_ENTITY}")
@@ -91,6 +99,8 @@ def _cost(text: str) -> float:
                 # A capital inside a word of small letters is what bytes above 0xC0 turn into.
                 inner = before.islower() or (before.isalpha() and text[i + 1 : i + 2].islower())
                 total += 1.6 if char.isupper() and inner else 0.3
+                # One byte is ö in cp850 and î in mac-roman, which mostly follows a vowel: decides between equals.
+                total += 0.01 if char in "öî" and (char == "î") != (before in ("a", "o", "u")) else 0.0
             elif char in MARKS:
                 inside = before.isalpha() and (char in "±×" or (text[i + 1 : i + 2].isalpha() and char not in "’‘\u00ad\u200b\u00a0\u202f–—" and (before, text[i + 1]) != ("l", "l")))
                 total += 2.0 if inside or (before and not before.isascii() and before not in MARKS and char not in "”’»…“–—") else 0.4
@@ -158,17 +168,44 @@ def restore_word(word: str) -> Found:
     return Found(best[2] if changed else word, changed or LOST in word)
 
 
+def inner_marks(text: str) -> list[int]:
+    """The places of marks between letters that stand for letters: not of quotes that lack a space, which have a partner."""
+    marks = [m.start() for m in _MARK.finditer(text)]
+    if not marks:
+        return marks
+    inner = set(marks)
+    quotes = [m.start() for m in _QUOTE.finditer(text) if m.start() not in inner]
+    opens = [not q or text[q - 1].isspace() or text[q - 1] in "([" for q in quotes]
+    out = []
+    for at in marks:
+        i = bisect.bisect(quotes, at)
+        opened, closed = i > 0 and opens[i - 1], i < len(quotes) and not opens[i]
+        if not (opened and not closed and text[at] in "“”" or closed and not opened and text[at] in "“„"):
+            out.append(at)
+    return out
+
+
 def suspects(text: str) -> Iterator[tuple[int, str]]:
     """(place, piece) of what may be garbled: words, or parts of very long words, in linear time."""
+    marks = inner_marks(text)
+
+    def marked(start: int, stop: int) -> bool:
+        i = bisect.bisect_left(marks, start)
+        return i < len(marks) and marks[i] < stop
+
     for m in _WORD.finditer(text):
         word = m.group()
         if not word.isascii() or "&" in word:
             if len(word) <= LONG_WORD:
                 if _SUSPECT.search(word):
                     yield m.start(), word
+                elif marked(m.start(), m.end()):
+                    # Proper marks around the word stay out of the search.
+                    core = word.lstrip(_EDGES)
+                    yield m.end() - len(core), core.rstrip(_EDGES)
             else:
                 for part in _PART.finditer(word):
-                    if _SUSPECT.search(part.group()):
+                    if _SUSPECT.search(part.group()) or marked(m.start() + part.start(), m.start() + part.end()):
                         yield m.start() + part.start(), part.group()
 
 
@@ -202,6 +239,6 @@ def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append((k, restored, LOST in restored))
             yield pd.DataFrame(rows, columns=["k", "restored", "lossy"])
 
-    suspect = F.col("t").rlike(f"{_ODD}|{_ENTITY}")
+    suspect = F.col("t").rlike(f"{_ODD}|{_ENTITY}|{_INSIDE}")
     given = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(suspect)
     return given.mapInPandas(search, "k string, restored string, lossy boolean").select(F.col("k").cast(kind).alias(key), "restored", "lossy")

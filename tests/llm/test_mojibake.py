@@ -53,3 +53,12 @@ def test_very_long_words_take_linear_time():
     hit, restored = M.restore("xÃ©" * 50_000)
     assert hit and restored == "xé" * 50_000
     assert M.restore("é" * 100_000 + "ñ" * 100_000)[0] is False
+
+
+def test_marks_between_letters(spark):
+    for garbled, proper in (("M„dchen", "Mädchen"), ("h”ren", "hören"), ("ma”tre", "maître"), ("r¡o", "río"), ("“M„dchen”", "“Mädchen”"), ("„Die M„dchen h”ren“", "„Die Mädchen hören“"), ("CR…ATION", "CRÉATION")):
+        assert M.restore(garbled) == (True, proper)
+    for text in ("wait…what", "the “big foo”bar", "said“the big one” again", "„Hof“und", "Hola¡Qué tal! dijo:¿Quién", "Hola¿Quién"):
+        assert M.restore(text) == (False, text)
+    df = spark.createDataFrame([(1, "Das M„dchen lief."), (2, "„Hof“und")], "doc_id long, text string")
+    assert [tuple(r) for r in M.garbled(df, "doc_id", "text").collect()] == [(1, "Das Mädchen lief.", False)]
