@@ -68,6 +68,10 @@ def _table(name: str) -> tuple[list[str], dict[str, int]]:
 
 _TABLES = {name: _table(name) for name in {*MISREAD, *WRITTEN}}
 
+_LEADS = {c for name in MISREAD for c in (_TABLES[name][0][0xC2], _TABLES[name][0][0xC3], _TABLES[name][0][0xE2] + _TABLES[name][0][0x80])} - {"¬"}
+#: The first character of a misread sequence at the end of a word of small letters, its second one lost; ¬ also marks hyphenation.
+_ORPHAN = re.compile(rf"[{_SMALL}]{{2}}(?:{'|'.join(sorted(map(re.escape, _LEADS)))})[.,;:!?)\"']*$")
+
 
 def _bytes(text: str, name: str) -> bytes | None:
     back = _TABLES[name][1]
@@ -165,7 +169,10 @@ def restore_word(word: str) -> Found:
                     heapq.heappush(queue, (_cost(reached) + spent + price, spent + price, reached))
     gain = given - best[0]
     changed = gain >= (MARGIN if best[1] else PROVEN)
-    return Found(best[2] if changed else word, changed or LOST in word)
+    # With its second byte lost, what another encoding makes of the first is no restoration.
+    orphan = bool(_ORPHAN.search(word))
+    changed = changed and not (orphan and best[1])
+    return Found(best[2] if changed else word, changed or orphan or LOST in word)
 
 
 def inner_marks(text: str) -> list[int]:

@@ -62,3 +62,10 @@ def test_marks_between_letters(spark):
         assert M.restore(text) == (False, text)
     df = spark.createDataFrame([(1, "Das M„dchen lief."), (2, "„Hof“und")], "doc_id long, text string")
     assert [tuple(r) for r in M.garbled(df, "doc_id", "text").collect()] == [(1, "Das Mädchen lief.", False)]
+
+
+def test_orphan_lead_characters_are_found():
+    for text in ("voilÃ est", "le chatâ€", "(voilÃ),"):
+        assert M.restore(text) == (True, text)
+    for text in ("JOÃ", "voilà"):
+        assert M.restore(text) == (False, text)
