@@ -9,10 +9,16 @@ from lodespark.config import EngineConfig
 from lodespark.functions.vectors import centroid, cosine, nearest
 
 
-def with_status(queries: DataFrame, corpus: DataFrame, k: int, statuses: list[str] | None, overfetch: int = 3) -> DataFrame:
-    """The k nearest rows of an allowed status among the ``overfetch * k`` nearest of any; without statuses the k nearest."""
+def with_status(queries: DataFrame, corpus: DataFrame, k: int, statuses: list[str] | None, overfetch: int | None = 3) -> DataFrame:
+    """The k nearest rows of an allowed status among the ``overfetch * k`` nearest of any; without statuses the k nearest.
+
+    Over-fetching may leave fewer than k rows, as the reference does; ``overfetch=None`` finds the k nearest of an
+    allowed status exactly.
+    """
     if statuses is None:
         return nearest(queries, corpus, k)
+    if overfetch is None:
+        return nearest(queries, corpus.where(F.col("status").isin(statuses)), k)
     near = nearest(queries, corpus, overfetch * k).join(corpus.select("vec_id", "status"), "vec_id").where(F.col("status").isin(statuses))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -130,3 +130,12 @@ def test_long_texts_are_read_whole(spark):
     assert got[" first"] != got["second"]
     assert all(sum(x * x for x in v) == pytest.approx(1, abs=1e-4) for v in got.values())
     assert "".join(models.embed_pieces(filler + "y" * 5000)) == filler + "y" * 5000 and max(map(len, models.embed_pieces(filler + "y" * 5000))) <= models.EMBED_CHARS
+
+
+def test_status_filter_can_be_exact(spark):
+    from lodespark.operators import retrieve
+
+    corpus = spark.createDataFrame([(i, [float(i), 1.0], "active" if i >= 18 else "dormant") for i in range(20)], "vec_id long, embedding array<float>, status string")
+    asked = spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, query_vector array<float>")
+    assert retrieve.with_status(asked, corpus, 2, ["active"]).count() == 0
+    assert [(r["rank"], r["vec_id"]) for r in retrieve.with_status(asked, corpus, 2, ["active"], overfetch=None).orderBy("rank").collect()] == [(1, 18), (2, 19)]
