@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,22 +22,22 @@ def sliding_spans(text: str, size: int, overlap: int, mode: str = "compat") -> l
     """(start, end) of the sliding windows of ``text``.
 
     A window after the first that does not reach the end is shortened to the last separator in it. ``compat`` goes on
-    after the window that reaches the end with every shorter suffix inside the overlap; ``clean`` stops there.
+    after the window that reaches the end with every shorter suffix inside the overlap; ``clean`` stops there. The
+    places of all separators are found once, so that the work grows with the text and not with its windows.
     """
-    spans: list[tuple[int, int]] = []
-    start, n = 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if start and end < n:
-            for separator in SLIDING:
-                at = text.rfind(separator, start, end)
-                if at >= 0:
-                    end = at + len(separator)
-                    break
-        spans.append((start, end))
-        if end == n and mode == "clean":
-            break
-        start = max(end - overlap, start + 1)
+    n = len(text)
+    ends = [[m.end() for m in re.finditer(re.escape(s), text)] for s in SLIDING]
+
+    def natural(start: int, reach: int) -> int:
+        last = ((found[at - 1], len(s)) for s, found in zip(SLIDING, ends, strict=True) if (at := bisect_right(found, reach)))
+        return next((end for end, width in last if end - width >= start), reach)
+
+    spans = [(0, min(size, n))] if n else []
+    while spans and spans[-1][1] < n:
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1)
+        spans.append((start, natural(start, start + size) if start + size < n else n))
+    if spans and mode == "compat":
+        spans += [(start, n) for start in range(max(n - overlap, spans[-1][0] + 1), n)]
     return spans
 
 
