@@ -1,5 +1,8 @@
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from lodespark.operators import nested
 
 RECORD = {
@@ -55,3 +58,51 @@ def test_flat_table_keeps_parents(spark):
     df = spark.createDataFrame([(1, json.dumps(RECORD))], "line_no long, line string")
     steps = nested.pivot(nested.triples(df, "line_no", "line"), "line_no", "decomposition", (nested.KEY, "id", "question"))
     assert {(r["path"], r["parent"], r["question"]) for r in steps.collect()} == {("0", "", "q"), ("0.0", "0", "p"), ("0.1", "0", None), ("0.1.0", "0.1", None)}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda inner: st.lists(inner) | st.dictionaries(st.text(), inner), max_leaves=12), st.booleans(), st.sampled_from(["", " \n", "\t "]), st.integers(0, 40))
+@settings(max_examples=200, deadline=None)
+def test_parser_reads_what_json_reads(value, ascii_only, blanks, drop):
+    def plain(held):
+        if isinstance(held, nested.Object):
+            return {k: plain(v) for k, v in held.items()}
+        if isinstance(held, nested.Array):
+            return [plain(v) for v in held]
+        return json.loads(held) if isinstance(held, nested.Literal) else held
+
+    text = blanks + json.dumps([value], ensure_ascii=ascii_only, indent=len(blanks) or None) + blanks
+    assert plain(nested.read(text)) == [value]
+    broken = text[: max(0, len(text) - drop)]
+    try:
+        want = json.loads(broken)
+    except ValueError:
+        want = None
+    assert plain(nested.read(broken)) == (want if isinstance(want, list | dict) else None)
+
+
+def test_parser_refuses_what_is_no_json():
+    for text in ("[1,]", "{,}", '{"a":}', '{"a" 1}', "[1 2]", "[01]", '["\x01"]', "[1]]", '{"a":1]', "[} ", "{1:2}", '["\\x"]', "[1][2]"):
+        assert nested.read(text) is None
+    assert nested.read('{"a":1,"b":2,"a":[3.50]}') == {"a": ["3.50"], "b": "2"} and nested.parse_record('{"chunks":[{"id":1.50,"meta":{"a" :1}}]}')[1:] == [("chunk", 1, "id", "1.50", 0), ("chunk", 1, "meta", '{"a" :1}', 0)]
+
+
+def test_depth_blanks_and_size(spark):
+    depth, wide = 10_000, 100_000
+    text = '{"decomposition":' + '[{"id":1,"decomposition":' * depth + "[]" + "}]" * depth + "}"
+    blanks = " " * 1_000_000
+    padded = json.dumps({"chunks": blanks + '[{"id": "a"}, {"id": "b"}]' + blanks})
+    facts = json.dumps({"chunks": [{"id": str(i), "title": f"t{i % 1000}"} for i in range(wide)], "supporting_facts": [[f"t{i}", 0] for i in range(1000)] + [{"id": str(i)} for i in range(1000)]})
+    rows = found(spark, [(1, text, "", "", ""), (2, padded, "", "", ""), (3, blanks + facts, "", "", "")])
+    count = {n: sum(r[0] == n for r in rows) for n in (1, 2, 3)}
+    assert count == {1: depth, 2: 2, 3: wide + 2000}
+    assert max(len(r[2]) for r in rows if r[0] == 1) == 2 * depth - 1
+    assert {r[3] for r in rows if r[0] == 3 and r[1] == "supporting_fact" and int(r[2]) < 1000} == {str(99_000 + i) for i in range(1000)}
+
+
+def test_lines_of_one_key_and_unreadable_lines(spark):
+    a, b = json.dumps({"chunks": [{"id": "a"}]}), json.dumps({"chunks": [{"id": "b"}]})
+    assert sorted(found(spark, [(1, a, "", "", ""), (1, b, "", "", ""), (1, a, "", "", "")])) == [(1, "chunk", "0", "a"), (1, "chunk", "0", "b")]
+    lines = [(1, a), (2, None), (3, " "), (4, "[1]"), (5, "3"), (6, "{"), (None, "x y")]
+    df = spark.createDataFrame(lines, "line_no long, line string")
+    got = {tuple(r) for r in nested.unreadable(df, "line_no", "line").collect()}
+    assert got == {(2, "null"), (3, "blank"), (4, "no object"), (5, "no object"), (6, "no whole JSON"), (None, "no whole JSON")}
