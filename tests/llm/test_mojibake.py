@@ -69,3 +69,47 @@ def test_orphan_lead_characters_are_found():
         assert M.restore(text) == (True, text)
     for text in ("JOÃ", "voilà"):
         assert M.restore(text) == (False, text)
+
+
+# Proper words and paragraphs in languages that the corpus hardly holds.
+WORDS = "Łódź Żółć gęślą jaźń Ağrı Čačak Škvorecký L·L COL·LEGI Şişli Žluťoučký İstanbul Győr Brașov Ţară Điện Þingvellir São Ærø Gabčíkovo Ştefan Hódmezővásárhely Đoković Łukasz Ľubica Ķekava Ħamrun ŵyn MĚŠŤAN NÍŽE MĘŻCZYZNA ŻÓŁĆ Óśmy Čeština".split()
+SIGNS = "µm 5µg µmol Δx β-Carotin πr² 10Ω km² α φ(x)".split()
+PARAGRAPHS = [
+    "Zażółć gęślą jaźń. Wszystkie dzieci rodzą się wolne i równe pod względem swej godności i swych praw; ŁÓDŹ i ŻYWIEC leżą w Polsce.",
+    "Příliš žluťoučký kůň úpěl ďábelské ódy. Všichni lidé rodí se svobodní; ČESKÁ TŘEBOVÁ a NÍŽE položené město, MĚŠŤAN.",
+    "Pijamalı hasta yağız şoföre çabucak güvendi. Bütün insanlar hür doğarlar; İSTANBUL, ŞİŞLİ ve AĞRI Türkiye’dedir.",
+    "Gojazni đačić s biciklom drži hmelj i finu vatu u džepu nošnje. Sva ljudska bića rađaju se slobodna; ŠIBENIK i ČAKOVEC.",
+    "Árvíztűrő tükörfúrógép. Minden emberi lény szabadon születik; GYŐR és HÓDMEZŐVÁSÁRHELY magyar városok.",
+    "Toate ființele umane se nasc libere și egale în demnitate; BRAȘOV și TÂRGU MUREȘ sunt orașe. Ţara şi oraşul.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng. ĐIỆN BIÊN PHỦ.",
+    "Kæmi ný öxi hér, ykist þjófum nú bæði víl og ádrepa. ÞINGVELLIR.",
+    "Le pianiste Antonín Dvořák est né près de Kralupy; Bohumil Hrabal, Josef Škvorecký et la ville de Łódź sont cités. Il a été joué à Győr.",
+]
+
+
+@pytest.mark.parametrize("text", [*WORDS, *SIGNS, *PARAGRAPHS])
+def test_letters_of_all_latin_alphabets_stay(text):
+    assert M.restore(text) == (False, text)
+
+
+@pytest.mark.parametrize("text", PARAGRAPHS[:8])
+@pytest.mark.parametrize("wrong", ["cp1252", "cp1250"])
+def test_other_languages_are_restored(text, wrong):
+    chars = M._TABLES[wrong][0]
+    hit, restored = M.restore("".join(chars[b] for b in text.encode()))
+    assert hit and sum(a == b for a, b in zip(restored.split(" "), text.split(" "), strict=False)) >= 0.85 * len(text.split(" "))
+
+
+def test_the_document_decides_the_encodings():
+    text = "Según la expedición, los fósiles de la montaña; JOÃO llegó."
+    for wrong in ("cp1251", "cp437"):
+        assert M.restore(text.encode("cp1252").decode(wrong)) == (True, text)
+    french = "Le père a préféré la forêt à la crème, et le théâtre où il répète."
+    assert M.restore(french.encode("cp1252").decode("cp1250")) == (True, french)
+
+
+def test_search_without_bound_of_states():
+    text = "é"
+    for _ in range(6):
+        text = "".join(M._TABLES["cp1252"][0][b] for b in text.encode())
+    assert M.restore(f"caf{text}") == (True, "café")
