@@ -47,10 +47,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(_long_items(spark, sf_dir), ["origin", "item_id"], "text").distinct()
 
 
+_PAIR = ("prediction_id", "question", "predicted_answer", "ground_truth_answer")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "predictions")
-    model = pairs.train(pairs.sample(rows, "prediction_id", "question", "predicted_answer", "ground_truth_answer"))
-    return pairs.defects(rows, "prediction_id", "question", "predicted_answer", "ground_truth_answer", model).distinct()
+    return pairs.defects(rows, *_PAIR, pairs.fitted(rows, *_PAIR)).distinct()
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "predictions")
+    found = pairs.labelled(rows, *_PAIR, pairs.fitted(rows, *_PAIR)).select("prediction_id", "field", F.explode("labels").alias("label"))
+    return found.distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +97,4 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_cleaned": p8_cleaned, "p9_found": p9_found, "p9_restored": p9_restored}

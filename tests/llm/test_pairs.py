@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lodespark.llm import pairs as P
@@ -66,3 +67,44 @@ def test_training_is_bounded_and_repeatable(spark):
 
 def test_training_on_nothing():
     assert P.train([]).defect("q", "an answer", None) in (None, *P.LABELS)
+
+
+def test_refusals_of_unseen_wording():
+    """Recall on refusals by rules that training did not see, over all rules in turn."""
+    rng, hits, asked = np.random.default_rng(4), 0, 0
+    questions = [q for q, *_ in rows(200, seed=5)]
+    for held_out in ({0, 4}, {1, 5}, {2, 9}, {3, 10}):
+        model = P.train(rows(800), held_out=frozenset(held_out))
+        for q in questions[:100]:
+            grammar = P.REFUSALS[P.language(q)]
+            if told := [rule for i, rule in enumerate(grammar["rules"]) if i in held_out]:
+                text = P.composed(rng, grammar, rule=told[int(rng.integers(len(told)))], n="Rosa Harrow")
+                asked += 1
+                hits += model.defect(q, text[:1].upper() + text[1:] + ".", None) == "refusal"
+    assert hits >= 0.9 * asked > 200
+
+
+def test_others_refusals_are_none(model):
+    q = "In which town was Rosa Harrow born?"
+    for answer in ("He could not attend the ceremony because of illness.", "Derby is no longer known as Otto but as Essen.", "The council refused to answer the judge in Leeds."):
+        assert model.defect(q, answer, "Leeds") is None
+    for answer in ("Can't say.", "No idea, honestly.", "Nothing in the text supports a reply."):
+        assert model.defect(q, answer, None) == "refusal"
+
+
+def test_all_labels_come_out(spark, model):
+    df = spark.createDataFrame([(1, "In which town was Rosa Harrow born?", "Lo siento, no puedo responder a", "Leeds"), (2, "In which town was Rosa Harrow born?", "Leeds", "Leeds")], "pid long, q string, a string, g string")
+    got = P.labelled(df, "pid", "q", "a", "g", model).collect()
+    assert len(got) == 1 and got[0]["field"] == "a" and len(got[0]["labels"]) >= 1
+    assert [r["defect"] for r in P.defects(df, "pid", "q", "a", "g", model).collect()] == [got[0]["labels"][0]]
+
+
+def test_words_are_counted_over_all_rows(spark):
+    data = rows(300)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "pid long, q string, a string, g string").repartition(5)
+    want = P._lexicon(P._whole(data))
+    got = P.count_words(df, "q", "a", "g")
+    assert got.keys() == want.keys() and all(np.allclose(got[w], want[w]) for w in want)
+    assert P.count_words(df.limit(0), "q", "a", "g") == {}
+    made = P._make(data[:40])
+    assert [f.hashed for f in P.described_in_tasks(spark)(made, want)] == [f.hashed for f in P._described(made, want)]
