@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,27 +19,41 @@ def gold_answers(gold: Column, aliases: Column) -> Column:
     return F.when(gold.isNull() | F.array_contains(held, F.coalesce(gold, F.lit(""))), held).otherwise(F.array_append(held, gold))
 
 
+def _once(values: list[Column], make: Callable[..., Column]) -> Column:
+    """``make`` of values that are computed once, though it uses them within lambdas."""
+    packed = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.get(F.transform(packed, lambda e: make(*[e[f"v{i}"] for i in range(len(values))])), 0)
+
+
 def exact_match(predicted: Column, golds: Column) -> Column:
     """Whether the prediction equals any gold answer once normalised; false for an empty prediction or without golds."""
-    same = F.exists(golds, lambda g: text.normalize(g) == text.normalize(predicted))
+    same = _once([text.normalize(predicted), golds], lambda told, given: F.exists(given, lambda g: text.normalize(g) == told))
     return F.coalesce((predicted != "") & (F.size(golds) > 0) & same, F.lit(False))
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """The size of the intersection of two arrays as bags."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
+    """The size of the intersection of two arrays as bags: each element of one strikes its like from the other."""
+
+    def strike(state: Column, word: Column) -> Column:
+        at = F.array_position(state["left"], word).cast("int")
+        rest = F.concat(F.slice(state["left"], F.lit(1), at - 1), F.slice(state["left"], at + 1, F.size(state["left"])))
+        return F.when(at > 0, F.struct((state["n"] + 1).alias("n"), rest.alias("left"))).otherwise(state)
+
+    return F.aggregate(a, F.struct(F.lit(0).alias("n"), b.alias("left")), strike, lambda s: s["n"])
 
 
 def _f1(predicted: Column, gold: Column) -> Column:
-    common = bag_overlap(predicted, gold).cast("double")
-    return F.when(common > 0, 2 * common / (F.size(predicted) + F.size(gold))).otherwise(F.lit(0.0))
+    return _once([bag_overlap(predicted, gold).cast("double"), F.size(predicted) + F.size(gold)], lambda common, size: F.when(common > 0, 2 * common / size).otherwise(F.lit(0.0)))
 
 
 def token_f1(predicted: Column, golds: Column) -> Column:
     """The best token F1 over gold answers that are not blank; 0 without any, or for a prediction without tokens."""
-    told = text.tokens(predicted)
-    scores = F.transform(F.filter(golds, lambda g: ~text.blank(g)), lambda g: _f1(told, text.tokens(g)))
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+
+    def best(told: Column, given: Column) -> Column:
+        return F.array_max(F.transform(given, lambda g: _f1(told, g)))
+
+    wanted = F.transform(F.filter(golds, lambda g: ~text.blank(g)), text.tokens)
+    return F.coalesce(_once([text.tokens(predicted), wanted], best), F.lit(0.0))
 
 
 def retrieval_prf(retrieved: Column, relevant: Column, k: int | None = None) -> Column:

@@ -18,11 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.functions import text as T
+from lodespark.session import cut
+
 #: What one call of a model sees: characters of embedding and of extraction input. Longer texts are embedded in pieces.
 EMBED_CHARS = 2048
 EXTRACT_CHARS = 4000
 #: Pieces embedded in one call.
 EMBED_ROWS = 10_000
+#: A text that one in this many rows has is joined by broadcast.
+HOT = 100
 
 
 class Embedder(Protocol):
@@ -35,6 +40,51 @@ class Completer(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+class Extractor(Protocol):
+    """Answers with the entities of a text of at most ``EXTRACT_CHARS`` characters, as a JSON array somewhere in its response."""
+
+    def respond(self, text: str) -> str: ...
+
+
+class PromptedExtractor:
+    """An extractor that asks a completer."""
+
+    PROMPT = "List the entities of the text as a JSON array of objects with text, type, description and importance_score (1 to 5). Types: {types}.\nText: {text}"
+
+    def __init__(self, completer: Completer) -> None:
+        self.completer = completer
+
+    def respond(self, text: str) -> str:
+        from lodespark.functions.text import TYPES
+
+        return with_retries(lambda: self.completer.complete(self.PROMPT.format(types=", ".join(TYPES), text=text)), attempts=2, default="", wanted=bool)
+
+
+class CachedEmbedder:
+    """An embedder that keeps the vectors of the last ``capacity`` different texts, first in first out, per process."""
+
+    def __init__(self, embedder: Embedder, capacity: int = 10_000) -> None:
+        self.embedder, self.capacity, self.dimension = embedder, capacity, embedder.dimension
+        self.held: dict[str, list[float]] = {}
+        self.hits = self.misses = 0
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        new = [t for t in dict.fromkeys(texts) if t not in self.held]
+        fresh = dict(zip(new, self.embedder.embed(new), strict=True)) if new else {}
+        out = [fresh[t] if t in fresh else self.held[t] for t in texts]
+        self.misses += len(new)
+        self.hits += len(texts) - len(new)
+        for text, vector in fresh.items():
+            if len(self.held) >= self.capacity:
+                del self.held[next(iter(self.held))]
+            self.held[text] = vector
+        return out
+
+    def stats(self) -> dict[str, float]:
+        asked = self.hits + self.misses
+        return {"size": len(self.held), "capacity": self.capacity, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
+
+
 class HashEmbedder:
     """Words counted in hashed buckets, scaled to length 1; blank texts give the zero vector."""
 
@@ -58,11 +108,12 @@ class EchoCompleter:
         return f"FINAL_ANSWER_TEXT: {first.group(1)}" if first else "FINAL_ANSWER_TEXT: NOT FOUND"
 
 
-def with_retries(call: Callable[[], object], attempts: int = 3, delay: float = 1.0, default: object = None) -> object:
-    """The result of ``call``, tried again after a pause when it raises; ``default`` if every attempt fails."""
+def with_retries(call: Callable[[], object], attempts: int = 3, delay: float = 1.0, default: object = None, wanted: Callable[[object], bool] = lambda _: True) -> object:
+    """The result of ``call``; ``default`` if every attempt fails. A call that raises is tried again after a pause, one whose result is not ``wanted`` at once."""
     for attempt in range(attempts):
         try:
-            return call()
+            if wanted(result := call()):
+                return result
         except Exception:
             if attempt + 1 < attempts:
                 time.sleep(delay)
@@ -109,18 +160,28 @@ def embed_texts(texts: DataFrame, text: str, embedder: Embedder, out: str = "emb
                     united.append((mean / length if length > 0 else mean).tolist())
             yield pd.DataFrame({"__text": batch["__text"], out: united})
 
-    distinct = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
-    vectors = distinct.mapInPandas(run, f"__text string, `{out}` array<float>")
-    joined = texts.join(vectors, texts[text] == vectors["__text"], "left").drop("__text")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0).cast("float"), embedder.dimension)))
+    counted = texts.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    # Embedded once, whatever the joins below read.
+    vectors = cut(counted.select("__text", "__n").join(counted.select("__text").mapInPandas(run, f"__text string, `{out}` array<float>"), "__text"))
+    total = vectors.agg(F.sum("__n").alias("__all"))
+    # Texts that at least one in HOT rows has: at most HOT of them. The others are joined by hash.
+    held = vectors.join(F.broadcast(total), F.lit(True), "inner").withColumn("__hot", F.col("__n") * HOT >= F.col("__all"))
+    hot = F.broadcast(held.where("__hot").select(F.col("__text").alias("__h"), F.col(out).alias("__hv")))
+    cold = held.where(~F.col("__hot")).select("__text", F.col(out).alias("__cv"))
+    joined = texts.join(hot, F.col(text) == F.col("__h"), "left")
+    # Hot texts look for nothing in the second join.
+    key = F.when(F.col("__h").isNull(), F.col(text)).otherwise(F.concat(F.lit("#"), F.floor(F.rand(7) * 1024).cast("string"), F.lit("#")))
+    joined = joined.withColumn("__k", key).join(cold, (F.col("__k") == F.col("__text")) & F.col("__h").isNull(), "left")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), embedder.dimension)
+    return joined.withColumn(out, F.coalesce("__hv", "__cv", zero)).select(*texts.columns, out)
 
 
 def complete_prompts(rows: DataFrame, prompt: str, completer: Completer, out: str = "response") -> DataFrame:
-    """``rows`` with a completion per prompt; an empty one where the completer fails twice."""
+    """``rows`` with a completion per prompt; an empty one where the completer fails or says nothing twice."""
 
     @F.pandas_udf("string")
     def run(prompts: pd.Series) -> pd.Series:
-        return prompts.map(lambda p: with_retries(lambda: completer.complete(p or ""), attempts=2, default=""))
+        return prompts.map(lambda p: with_retries(lambda: completer.complete(p or ""), attempts=2, default="", wanted=bool))
 
     return rows.withColumn(out, run(F.col(prompt)))
 
@@ -138,3 +199,27 @@ def extract_entities(text: Column) -> Column:
         return F.struct(e.alias("text"), kind.alias("type"), F.lit("").alias("description"), F.least(F.greatest(F.floor(F.length(e) / 4).cast("int"), F.lit(1)), F.lit(5)).cast("double").alias("importance_score"))
 
     return F.transform(found, entity)
+
+
+def extract(rows: DataFrame, text: str, extractor: Extractor | None = None, out: str = "entities") -> DataFrame:
+    """``rows`` with an array of entities (text, type, description, importance_score) of a text column.
+
+    Without an extractor the stand-in is used. An extractor is asked for pieces of at most ``EXTRACT_CHARS`` characters,
+    and what it finds in any piece counts once; responses are salvaged and their types brought to the known ones.
+    """
+    if extractor is None:
+        return rows.withColumn(out, extract_entities(F.col(text)))
+
+    @F.pandas_udf("array<string>")
+    def ask(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [with_retries(lambda p=p: extractor.respond(p), attempts=1, default="") for p in embed_pieces(t, EXTRACT_CHARS)] if t else [])
+
+    def known(e: Column) -> Column:
+        return F.struct(e["text"].alias("text"), T.canonical_type(e["type"]).alias("type"), e["description"].alias("description"), e["importance_score"].alias("importance_score"))
+
+    return rows.withColumn(out, F.array_distinct(F.flatten(F.transform(ask(F.col(text)), lambda r: F.transform(T.salvage_json(r), known)))))
+
+
+def query_cues(questions: DataFrame, question: str, extractor: Extractor | None = None, out: str = "cues") -> DataFrame:
+    """``questions`` with the texts of the entities that they name, once each."""
+    return extract(questions, question, extractor, "__found").withColumn(out, F.array_distinct(F.transform("__found", lambda e: e["text"]))).drop("__found")

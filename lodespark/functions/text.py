@@ -140,6 +140,20 @@ def tolerant_entities(text: Column) -> Column:
     return out
 
 
+def tolerant_objects(text: Column) -> Column:
+    """Entities of a response of any form as objects (text, type, description, importance_score); null where nothing is found.
+
+    Objects keep what they tell, the first array of objects that can be read counts; bare texts get the defaults.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)^\s*```\w*\s*|\s*```\s*$", "")
+    whole = salvage_json(bare)
+    # Where the span from the first to the last bracket is no array, each bracketed span is tried.
+    spans = F.transform(F.regexp_extract_all(bare, F.lit(r"(?s)(\[[^\[\]]*\])"), F.lit(1)), salvage_json)
+    parts = F.element_at(F.filter(F.concat(F.array(whole), spans), lambda x: F.size(x) > 0), 1)
+    texts = F.transform(tolerant_entities(text), lambda t: F.struct(t.alias("text"), F.lit("MISC").alias("type"), F.lit("").alias("description"), F.lit(3.0).alias("importance_score")))
+    return F.when(F.exists(F.concat(F.array(whole), spans), lambda x: F.size(x) > 0), parts).otherwise(texts)
+
+
 def chunk_budget(top_k: Column) -> Column:
     """How many chunks go into the context for a top-k: linear between the fixed points, truncated, clamped at the ends."""
     out = F.when(top_k <= BUDGET[0][0], F.lit(BUDGET[0][1]))

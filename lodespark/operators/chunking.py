@@ -98,17 +98,19 @@ def recursive(text: Column, config: EngineConfig) -> Column:
     return _udf(lambda t: [(0, p) for p in (recursive_split(t, size, overlap) if len(t) > size else [t])])(text)
 
 
-def chunks(docs: DataFrame, key: str, text: str, config: EngineConfig, splitter: str = "sliding") -> DataFrame:
-    """(source_doc_id, chunk_idx, chunk_id, start, chunk_text): every document in chunks; blank chunks are dropped.
+def chunks(docs: DataFrame, key: str, text: str, config: EngineConfig, splitter: str = "sliding", title: str | None = None) -> DataFrame:
+    """(source_doc_id, chunk_idx, chunk_id, start, title, chunk_text): every document in chunks; blank chunks are dropped.
 
-    Without chunking a document is one chunk. Null and blank texts give nothing; ids come from document and place.
+    Without chunking a document is one chunk. Null and blank texts give nothing; ids come from document and place. The
+    title is null unless a column for it is named.
     """
     content = F.col(text)
     if not config.enable_chunking:
         split = F.array(F.struct(F.lit(0).alias("start"), content.alias("text")))
     else:
         split = (sliding if splitter == "sliding" else recursive)(content, config)
-    rows = docs.where(~T.blank(content)).select(F.col(key).cast("string").alias("source_doc_id"), split.alias("pieces"))
-    rows = rows.select("source_doc_id", F.posexplode("pieces").alias("chunk_idx", "piece"))
-    out = rows.select("source_doc_id", "chunk_idx", F.concat_ws("_chunk_", "source_doc_id", "chunk_idx").alias("chunk_id"), F.col("piece.start").alias("start"), F.col("piece.text").alias("chunk_text"))
+    named = (F.lit(None) if title is None else F.col(title)).cast("string").alias("title")
+    rows = docs.where(~T.blank(content)).select(F.col(key).cast("string").alias("source_doc_id"), named, split.alias("pieces"))
+    rows = rows.select("source_doc_id", "title", F.posexplode("pieces").alias("chunk_idx", "piece"))
+    out = rows.select("source_doc_id", "chunk_idx", F.concat_ws("_chunk_", "source_doc_id", "chunk_idx").alias("chunk_id"), F.col("piece.start").alias("start"), "title", F.col("piece.text").alias("chunk_text"))
     return out.where(~T.blank(F.col("chunk_text")))

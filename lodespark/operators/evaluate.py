@@ -52,3 +52,23 @@ def token_usage(rows: DataFrame) -> DataFrame:
     used = T.token_estimate(F.col("question")) + T.token_estimate(F.col("predicted_answer"))
     n = F.count(F.lit(1))
     return rows.groupBy("top_k").agg(n.alias("queries"), F.sum(used).cast("bigint").alias("total_tokens"), F.round(F.sum(used) / n, 6).alias("avg_tokens"))
+
+
+def rouge_metrics() -> dict[str, Metric]:
+    """The ROUGE scores as metrics of their own."""
+    return {name: (lambda p, g, name=name: metrics.rouge_scores(p, g)[name]) for name in ("rouge1", "rouge2", "rougeL")}
+
+
+def wide_results(long: DataFrame, names: list[str], by: str = "top_k") -> DataFrame:
+    """A tidy table as one row per ``by`` and one column per metric; metrics that a row lacks are null."""
+    return long.groupBy(by).pivot("metric", names).agg(F.first("value"))
+
+
+def report(rows: DataFrame, n: int = 5) -> DataFrame:
+    """One row: total, exact matches, mean token F1, and the worst and best predictions (a top-k report)."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("m_exact_match").cast("bigint")), F.lit(0)).alias("exact"), F.round(F.avg("m_f1_score"), 6).alias("mean_f1"))
+    picked = extremes(rows, n)
+    item = F.struct("f1", "prediction_id")
+    sides = picked.agg(F.array_sort(F.collect_list(F.when(F.col("side") == "worst", item))).alias("worst"), F.reverse(F.array_sort(F.collect_list(F.when(F.col("side") == "best", item)))).alias("best"))
+    # One row each.
+    return total.join(F.broadcast(sides), F.lit(True))

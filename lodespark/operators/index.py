@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.config import EngineConfig
@@ -30,12 +30,14 @@ def new_documents(docs: DataFrame, manifest: DataFrame, by_content: bool = True,
     return named.join(manifest, same, "left_anti").drop("__id", "__md5")
 
 
-def traces_of(chunks: DataFrame) -> DataFrame:
+def traces_of(chunks: DataFrame, extractor: models.Extractor | None = None) -> DataFrame:
     """One trace per entity mention of a chunk, with a key made of chunk, place and text, and the documented defaults."""
-    found = chunks.select("chunk_id", "source_doc_id", F.posexplode(models.extract_entities(F.col("chunk_text"))).alias("pos", "e"))
+    found = models.extract(chunks.select("chunk_id", "source_doc_id", "chunk_text"), "chunk_text", extractor, "entities")
+    found = found.select("chunk_id", "source_doc_id", F.posexplode("entities").alias("pos", "e"))
     return found.select(
         F.md5(F.concat_ws("|", "chunk_id", "pos", "e.text")).alias("id"), F.col("e.text").alias("entity_text"), F.col("e.type").alias("entity_type"), F.col("e.description").alias("entity_description"),
         F.col("e.importance_score").alias("entity_importance"), F.col("chunk_id").alias("source_chunk_id"), "source_doc_id", F.lit("dormant").alias("status"), F.lit(0).cast("bigint").alias("access_count"),
+        F.current_timestamp().alias("created_at"),
     )
 
 
@@ -57,16 +59,37 @@ def graph_nodes(traces: DataFrame, chunks: DataFrame) -> DataFrame:
     return entities.unionByName(passages).where(F.col("id").isNotNull()).distinct()
 
 
-def index_documents(docs: DataFrame, manifest: DataFrame | None, config: EngineConfig, key: str = "doc_id", text: str = "text", splitter: str = "sliding") -> dict[str, DataFrame]:
+def index_documents(docs: DataFrame, manifest: DataFrame | None, config: EngineConfig, key: str = "doc_id", text: str = "text", splitter: str = "sliding", by_content: bool = True, extractor: models.Extractor | None = None) -> dict[str, DataFrame]:
     """Tables to append for the documents that ``manifest`` does not hold yet: chunks, traces, edges and manifest."""
     fresh = valid_documents(docs, key, text)
     if manifest is not None:
-        fresh = new_documents(fresh, manifest, key=key, text=text)
-    chunks = chunking.chunks(fresh, key, text, config, splitter)
-    traces = traces_of(chunks)
+        fresh = new_documents(fresh, manifest, by_content, key, text)
+    chunks = chunking.chunks(fresh, key, text, config, splitter, "title" if "title" in docs.columns and "title" not in (key, text) else None)
+    traces = traces_of(chunks, extractor)
     return {"chunks": chunks, "traces": traces, "edges": graph_edges(traces), "manifest": manifest_of(fresh, key, text)}
 
 
+def vectors_of(rows: DataFrame, key: str, content: Column, embedder: models.Embedder, first: int = 0) -> DataFrame:
+    """(vec_id, id, embedding): a vector per id, numbered on from ``first`` in the order of the ids.
+
+    Every vector must have the embedder's dimension, or the job fails; ids are embedded once each.
+    """
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), content.alias("text")).dropDuplicates(["id"])
+    embedded = models.embed_texts(named, "text", embedder).select("id", checked(F.col("embedding"), embedder.dimension).alias("embedding"))
+    numbered = sequenced(embedded, "id", "vec_id")
+    return numbered.select((F.col("vec_id") + first).alias("vec_id"), "id", "embedding")
+
+
+def checked(vector: Column, dimension: int) -> Column:
+    """``vector``, or an error if it has another dimension."""
+    return F.when(F.size(vector) == dimension, vector).otherwise(F.raise_error(F.concat(F.lit(f"a vector needs {dimension} numbers, not "), F.size(vector).cast("string"))).cast("array<float>"))
+
+
+def lookup(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of the ids asked for (a column ``id``), once per id and row."""
+    return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+
+
 def sequenced(rows: DataFrame, order: str, out: str = "seq") -> DataFrame:
     """``rows`` numbered from 0 in the order of a unique column, without one task seeing all rows.
 

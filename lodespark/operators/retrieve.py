@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodespark.config import EngineConfig
 from lodespark.functions.vectors import centroid, cosine, nearest
+from lodespark.session import cut
 
 
 def with_status(queries: DataFrame, corpus: DataFrame, k: int, statuses: list[str] | None, overfetch: int | None = 3) -> DataFrame:
@@ -48,7 +49,16 @@ def associative(queries: DataFrame, corpus: DataFrame, config: EngineConfig) ->
     Each round takes the first ``seed_limit`` rows discovered, searches around their mean and adds what is new. Weights
     are uniform or, by ``weighting='similarity'``, the cosine to the query.
     """
-    found = nearest(queries, corpus, config.initial_k).select("query_id", F.col("rank").alias("discovery"), "vec_id", "distance")
+    return associative_hits(queries, corpus, config)[0]
+
+
+def associative_hits(queries: DataFrame, corpus: DataFrame, config: EngineConfig) -> tuple[DataFrame, DataFrame]:
+    """What ``associative`` finds, and every hit of its searches (query_id, vec_id), rows that were known already too.
+
+    What a round found is cut, as the next one and the result both read it.
+    """
+    found = cut(nearest(queries, corpus, config.initial_k).select("query_id", F.col("rank").alias("discovery"), "vec_id", "distance"))
+    hits = found.select("query_id", "vec_id")
     for _ in range(config.depth):
         seeds = found.where(F.col("discovery") <= config.seed_limit).join(corpus.select("vec_id", "embedding"), "vec_id")
         weight = None
@@ -56,13 +66,14 @@ def associative(queries: DataFrame, corpus: DataFrame, config: EngineConfig) ->
             seeds = seeds.join(queries, "query_id").withColumn("w", cosine(F.col("embedding"), F.col("query_vector")))
             weight = F.col("w")
         means = centroid(seeds, "query_id", "embedding", weight).withColumnRenamed("centroid", "query_vector")
-        near = nearest(means, corpus, config.secondary_factor * config.initial_k)
+        near = cut(nearest(means, corpus, config.secondary_factor * config.initial_k))
+        hits = hits.unionByName(near.select("query_id", "vec_id"))
         fresh = near.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
         last = found.groupBy("query_id").agg(F.max("discovery").alias("last"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
         fresh = fresh.withColumn("place", place).join(last, "query_id").select("query_id", (F.col("last") + F.col("place")).alias("discovery"), "vec_id", "distance")
         found = found.unionByName(fresh)
-    return found
+    return found, hits
 
 
 def rerank(found: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

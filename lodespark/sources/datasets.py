@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,56 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SAMPLE).json(path)
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    samples.write.mode("overwrite").json(path)
+def write_samples(samples: DataFrame, path: str, limit: int | None = None) -> None:
+    """Samples with an id, one JSON object per line; ``limit`` counts the samples written, in the order of their ids."""
+    whole = samples.where(F.col("id").isNotNull())
+    (whole if limit is None else first_samples(whole, limit)).write.mode("overwrite").json(path)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str = schemas.SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejected lines) of a file of JSON lines: lines that cannot be read are kept apart as they are."""
+    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
+
+
+class Loader(Protocol):
+    """What an evaluation needs of a set of questions."""
+
+    def load_data(self, limit: int | None = None) -> DataFrame:
+        """(id, question, contexts, ground_truth_answer, ground_truth_aliases)"""
+        ...
+
+    def documents(self) -> DataFrame:
+        """(id, title, text) to be indexed."""
+        ...
+
+
+class SampleLoader:
+    """A loader of normalised samples of one set."""
+
+    def __init__(self, spark: SparkSession, dataset: str, path: str) -> None:
+        self.spark, self.dataset, self.path = spark, dataset, path
+
+    def load_data(self, limit: int | None = None) -> DataFrame:
+        samples = read_samples(self.spark, self.path)
+        return data_points(samples if limit is None else first_samples(samples, limit), self.dataset)
+
+    def documents(self) -> DataFrame:
+        return documents_for_indexing(self.load_data())
+
+
+#: Where the normalised samples of a set lie below the data folder.
+PATHS = {"hotpotqa": "hotpotqa/processed.jsonl", "2wiki": "2wiki/processed.jsonl", "musique": "musique/processed.jsonl"}
+
+
+def loader(spark: SparkSession, dataset: str, folder: str) -> SampleLoader:
+    """The loader of a known set below a data folder; an error if the set is unknown or its samples are not there."""
+    if dataset not in PATHS:
+        raise ValueError(f"unknown set {dataset!r}, not one of {sorted(PATHS)}")
+    path = f"{folder.rstrip('/')}/{PATHS[dataset]}"
+    # The path is resolved here, so that a missing one shows at once.
+    read_samples(spark, path)
+    return SampleLoader(spark, dataset, path)
 
 
 def hop(identifier: Column) -> Column:
