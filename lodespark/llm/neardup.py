@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.words import WORD
-from lodespark.session import cut, release
+from lodespark.session import cut as checkpointed
+from lodespark.session import release
 
 #: Counters of words; the table that is broadcast takes four bytes for each.
 COUNTERS = 1 << 20
@@ -52,6 +53,14 @@ QUERY, GROUP = 1, 2
 U = np.uint64
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` cut, and what earlier steps left on the executors' disks let go at once, as it would add up over the steps."""
+    out = checkpointed(df)
+    del df
+    release(out.sparkSession)
+    return out
+
+
 class _Hashes(dict):
     """64-bit hashes of words, remembered."""
 
@@ -352,8 +361,12 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.7) -> DataFrame:
 
 
 def similar_classes(texts: DataFrame, similarity: float = 0.7) -> DataFrame:
-    """(id, class, copies, links): each id with its class of equal word sets, the class' size and its linked classes."""
+    """(id, class, copies, links): each id with its class of equal word sets, the class' size and its linked classes.
+
+    A class is named by the smallest of its ids. This is the form to use at scale: it has one row per id, while the
+    pairs of ids grow with the square of the copies of a text.
+    """
     members, links = class_links(texts, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
-    return members.join(sizes, "class").join(degree, "class", "left").select("id", "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("name"))
+    return members.join(sizes, "class").join(degree, "class", "left").select("id", F.col("name").alias("class"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
