@@ -5,15 +5,19 @@ Searches take as queries every vector whose id is divisible by 20, against all v
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodespark.config import EngineConfig
+from lodespark.engine import BaselineEngine, Engine
 from lodespark.functions import metrics, models
 from lodespark.functions import text as T
 from lodespark.functions.vectors import centroid, nearest
 from lodespark.operators import answer, chunking, evaluate, index, retrieve
-from lodespark.session import table
+from lodespark.session import checkpoint_dir, table
 from lodespark.sources import datasets
 
 CONFIG = EngineConfig(dimension=64)
@@ -34,6 +38,11 @@ def _chunk_of(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.concat(F.lit("chunk_"), (F.col("vec_id") % 100).cast("string")).alias("chunk_id"))
 
 
+def _chunk_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of every chunk: the mean of the vectors of its traces, under the chunk's number."""
+    return centroid(vectors.withColumn("chunk", F.col("vec_id") % 100), "chunk", "embedding").select(F.col("chunk").alias("vec_id"), F.col("centroid").alias("embedding"))
+
+
 def _neat(found: DataFrame) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -82,7 +91,7 @@ def n6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n7_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
-    return retrieve.hybrid(_asked(vectors), vectors, vectors.where(F.col("label") % 2 == 0), _chunk_of(vectors), 5)
+    return retrieve.hybrid(_asked(vectors), vectors, _chunk_vectors(vectors), _chunk_of(vectors), 5)
 
 
 def n8_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +103,7 @@ def n8_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u1_chunk_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     found = nearest(_asked(vectors), vectors, CONFIG.initial_k)
-    direct = nearest(_asked(vectors), vectors.where(F.col("label") % 2 == 0), CONFIG.direct_chunk_k).join(_chunk_of(vectors), "vec_id")
+    direct = nearest(_asked(vectors), _chunk_vectors(vectors), CONFIG.direct_chunk_k).withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("vec_id").cast("string")))
     return retrieve.chunk_list(found, direct, _chunk_of(vectors), CONFIG.chunk_limit)
 
 
@@ -403,11 +412,47 @@ def x8_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = n6_associative(spark, sf_dir)
     entity = F.struct("rank", F.concat(F.lit("entity "), F.col("vec_id").cast("string")).alias("text"), F.element_at(F.array(*[F.lit(t) for t in T.TYPES]), (F.col("label") + 1).cast("int")).alias("type"), F.lit("").alias("description"))
     rows = ranked.join(vectors.select("vec_id", "label"), "vec_id").groupBy("query_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    no_chunks = F.array().cast("array<struct<chunk_id:string,doc_id:string,title:string,text:string,similarity:double>>")
+    passage = F.struct("rank", "chunk_id", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("Text of "), "chunk_id").alias("text"), F.lit(0.5).alias("similarity"))
+    passages = u1_chunk_list(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(passage)).alias("chunks"))
     asked = F.concat(F.lit("What is vector "), F.col("query_id").cast("string"), F.lit("?"))
-    return answer.answer(rows.select("query_id", answer.prompt(asked, F.col("entities"), no_chunks).alias("prompt"))).select("query_id", "answer")
+    told = rows.join(passages, "query_id").select("query_id", answer.prompt(asked, F.col("entities"), F.col("chunks")).alias("prompt"))
+    return answer.answer(told).select("query_id", "answer", F.size(F.split("prompt", "Passage [0-9]+ ")).alias("parts"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str, kind: type[Engine]) -> DataFrame:
+    """(part, rows): the tables of a new workspace, in the shared folder, that an engine has indexed all documents into."""
+    from dataclasses import replace
+
+    engine = kind(spark, f"{checkpoint_dir(spark)}/workspace-{uuid.uuid4().hex}", replace(CONFIG, enable_chunking=False))
+    engine.index_documents(table(spark, sf_dir, "documents"))
+    names = ("chunks", "traces", "edges", "manifest", "trace_vectors", "chunk_vectors") if kind is Engine else ("chunks", "manifest", "chunk_vectors")
+    counted = [engine.workspace.table(n).agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("rows")) for n in names]
+    return functools.reduce(DataFrame.unionByName, counted)
+
+
+def t0_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _indexed(spark, sf_dir, Engine)
+
+
+def t0_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Without chunking the splitter leaves documents whole in both engines.
+    return _indexed(spark, sf_dir, BaselineEngine)
+
+
+def u4_citations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sources(spark, sf_dir).where(F.col("doc_id") != "").select("prediction_id", F.col("doc_id").alias("source_doc_id"), F.col("pos").alias("rank"), "chunk_id")
+    # The first two sources stand as chunks, all as sources of entities.
+    return answer.citations_with_entities(rows.where(F.col("rank") < 2), rows, "prediction_id").select("prediction_id", "source_doc_id", "chunk_id", "rank")
+
+
+def a8_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swept = evaluate.sweep(evaluate.scored(table(spark, sf_dir, "predictions")), ["exact_match", "f1_score"])
+    return evaluate.wide_results(evaluate.long_results(swept, ["exact_match", "f1_score"]), ["exact_match", "f1_score"])
 
 
+def f20_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = models.query_cues(_predictions(spark, sf_dir), "question")
+    return cues.select("prediction_id", F.array_join("cues", "|").alias("cues"))
 
 
 _ALL = (
@@ -415,6 +460,6 @@ _ALL = (
     j3_new_by_id, j6_gold_answers, j7_lookup, k4_graph_nodes, k4_graph_edges, a10_graph_counts, d9_valid_documents, d11_chunks_compat, d11_chunks_clean, d13_whole_documents, d14_recursive_chunks,
     d16_entity_text, d17_trace_defaults, d19_truncated, d20_contexts, d22_previews, u4_citations, f1_normalized, f2_token_counts, f4_scores, f5_rouge, f7_digests, f11_salvaged, f13_tolerant, f14_types,
     f15_importance, f16_answers, l4_budget, l6_first_predictions, a1_sweep, a2_tokens, a6_retrieval, a7_analysis, a7_extremes, a8_runs, t1_accesses, t2_statuses, t3_memory, s4_data_points, d6_documents,
-    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, x6_extracted_whole, t0_index_sizes, x8_answers,
+    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, x6_extracted_whole, t0_index_sizes, x8_answers, t0_engine, t0_baseline, u4_citations_raw, a8_wide, f20_cues,
 )
 QUERIES = {f.__name__: f for f in _ALL}

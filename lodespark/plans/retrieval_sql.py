@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from lodespark.functions import text as T
-
-_PUNCTUATION = T.PUNCTUATION.replace("'", "''")
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+# Fixed values, written out here too, so that the SQL does not share a mistake with the functions it is compared with.
+_PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+_STOP = "'a', 'an', 'the', 'and', 'but', 'or', 'is', 'are', 'was', 'were'"
+_MARK = "FINAL_ANSWER_TEXT:"
+_NO_PREVIEW = "No text preview available"
+_TYPES = {
+    "PERSON": "PEOPLE INDIVIDUAL HUMAN PERSONAL",
+    "ORG": "ORGANIZATION COMPANY INSTITUTION CORPORATION AGENCY GROUP",
+    "LOC": "LOCATION PLACE GEOGRAPHICAL GEOGRAPHY AREA REGION COUNTRY CITY",
+    "CONCEPT": "IDEA THEORY PRINCIPLE METHODOLOGY METHOD TECHNIQUE APPROACH",
+    "DATE": "TIME PERIOD YEAR MONTH DAY DATETIME TEMPORAL",
+    "EVENT": "HAPPENING OCCURRENCE INCIDENT OCCASION",
+    "PRODUCT": "SERVICE OFFERING ITEM GOOD MERCHANDISE",
+    "WORK": "BOOK MOVIE FILM PUBLICATION ARTWORK CREATION",
+    "QUANTITY": "MEASUREMENT NUMBER AMOUNT VALUE METRIC",
+    "MISC": "MISCELLANEOUS OTHER UNKNOWN VARIOUS",
+}
+_BUDGET = ((1, 2), (3, 3), (5, 4), (10, 5), (20, 6), (40, 8), (80, 10), (100, 12), (120, 15))
 _SPACE = r"[\s\p{Z}]+"
 
 
@@ -44,6 +58,9 @@ def _rerank(source: str, k: int) -> str:
         SELECT {source}.query_id, vec_id, discovery, round(list_cosine_similarity(v, qv), 9) AS sim FROM {source} JOIN q USING (query_id))) WHERE r <= {k}"""
 
 
+#: The mean vector of each chunk's traces.
+_MEANS = """c0 AS (SELECT vec_id % 100 AS vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e),
+    cv AS (SELECT vec_id, list(m ORDER BY pos) AS v, 0 AS label, '' AS status FROM (SELECT vec_id, pos, avg(x) AS m FROM c0 GROUP BY vec_id, pos) GROUP BY vec_id)"""
 _CHUNK = "'chunk_' || CAST(vec_id % 100 AS VARCHAR)"
 _CHUNKS = "chunks AS (SELECT DISTINCT chunk_id, title, chunk_text, source_doc_id FROM (SELECT chunk_id, title, chunk_text, source_doc_id FROM chunk_metadata UNION ALL SELECT chunk_id, title, chunk_text, source_doc_id FROM pinned_chunks))"
 _PREDICTIONS = "p AS (SELECT DISTINCT ON (prediction_id) * FROM predictions)"
@@ -61,36 +78,36 @@ _SCORED = f"""{_PREDICTIONS}, g AS (SELECT prediction_id, run_id, top_k, process
 
 def _type_case() -> str:
     u = "upper(coalesce(entity_type, ''))"
-    exact = " ".join(f"WHEN {u} = '{t}' THEN '{t}'" for t in T.TYPES)
-    within = " ".join(f"WHEN {' OR '.join(f'contains({u}, {chr(39)}{v}{chr(39)})' for v in held)} THEN '{t}'" for t, held in T.TYPES.items())
+    exact = " ".join(f"WHEN {u} = '{t}' THEN '{t}'" for t in _TYPES)
+    within = " ".join(f"WHEN {' OR '.join(f'contains({u}, {chr(39)}{v}{chr(39)})' for v in held.split())} THEN '{t}'" for t, held in _TYPES.items())
     return f"CASE WHEN {u} = '' THEN 'MISC' {exact} {within} ELSE 'MISC' END"
 
 
 def _budget_case() -> str:
-    (x, y), *_ = T.BUDGET
+    (x, y), *_ = _BUDGET
     parts = [f"WHEN top_k <= {x} THEN {y}"]
-    parts += [f"WHEN top_k <= {x1} THEN CAST(floor({y0} + (top_k - {x0}) * {y1 - y0} / {x1 - x0}.0) AS INTEGER)" for (x0, y0), (x1, y1) in zip(T.BUDGET, T.BUDGET[1:], strict=False)]
-    return f"CASE {' '.join(parts)} ELSE {T.BUDGET[-1][1]} END"
+    parts += [f"WHEN top_k <= {x1} THEN CAST(floor({y0} + (top_k - {x0}) * {y1 - y0} / {x1 - x0}.0) AS INTEGER)" for (x0, y0), (x1, y1) in zip(_BUDGET, _BUDGET[1:], strict=False)]
+    return f"CASE {' '.join(parts)} ELSE {_BUDGET[-1][1]} END"
 
 
-def _split(clean: bool) -> str:
+def _split(clean: bool, source: str = "documents", columns: str = "CAST(doc_id AS VARCHAR) AS source_doc_id, CAST(i AS INTEGER) AS chunk_idx, CAST(s AS INTEGER) AS start, md5(c) AS digest") -> str:
     """The sliding splitter, 512 with 128, as a recursion over all documents at once."""
     window = "substr(text, CAST(s + 1 AS BIGINT), CAST(least(512, n - s) AS BIGINT))"
     last = " ".join(f"WHEN regexp_matches({window}, '{sep}') THEN s + length(regexp_extract({window}, '(?s)^.*{sep}'))" for sep in (r"\. ", r"\n", " "))
     end = f"CASE WHEN s > 0 AND least(s + 512, n) < n THEN CASE {last} ELSE least(s + 512, n) END ELSE least(s + 512, n) END"
     stop = "AND w.e < w.n" if clean else ""
-    return rf"""WITH RECURSIVE docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE NOT {_blank("text")}),
+    return rf"""WITH RECURSIVE docs AS (SELECT doc_id, text, length(text) AS n FROM {source} WHERE NOT {_blank("text")}),
     w(doc_id, i, s, e, n) AS (
         SELECT doc_id, 0, 0, least(512, n), n FROM docs
         UNION ALL SELECT doc_id, i, s, {end}, n FROM (SELECT w.doc_id, w.i + 1 AS i, greatest(w.e - 128, w.s + 1) AS s, d.text AS text, w.n AS n FROM w JOIN docs d USING (doc_id) WHERE greatest(w.e - 128, w.s + 1) < w.n {stop}))
-    SELECT CAST(doc_id AS VARCHAR) AS source_doc_id, CAST(i AS INTEGER) AS chunk_idx, CAST(s AS INTEGER) AS start, md5(c) AS digest FROM (
+    SELECT {columns} FROM (
         SELECT w.doc_id, i, s, substr(text, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT)) AS c FROM w JOIN docs USING (doc_id)) WHERE NOT {_blank("c")}"""
 
 
 _POINTS = f"""{_SAMPLES}, pts AS (SELECT id, question, answer, CASE dataset WHEN 'hotpotqa' THEN coalesce(supporting_facts, [])
         WHEN '2wiki' THEN list_filter(coalesce(chunks, []), lambda c: NOT {_blank("c.id")} AND NOT {_blank("c.chunk")}) ELSE coalesce(chunks, []) END AS contexts,
         CASE WHEN dataset = '2wiki' THEN 0 ELSE len(coalesce(answer_aliases, [])) END AS aliases FROM s)"""
-_PARSED = f"""CASE WHEN instr(a, '{T.ANSWER_MARK}') > 0 THEN {_strip(f"substr(a, instr(a, '{T.ANSWER_MARK}') + {len(T.ANSWER_MARK)})")}
+_PARSED = f"""CASE WHEN instr(a, '{_MARK}') > 0 THEN {_strip(f"substr(a, instr(a, '{_MARK}') + {len(_MARK)})")}
     ELSE coalesce(list_filter(list_transform(string_split(a, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '')[-1], '') END"""
 _SOURCES = f"{_PREDICTIONS}, src AS (SELECT prediction_id, pos, s.doc_id AS doc_id, s.chunk_id AS chunk_id, s.title AS title FROM (SELECT prediction_id, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS pos FROM p))"
 _SCORE = "CASE WHEN entity_importance BETWEEN 1 AND 5 THEN entity_importance ELSE 3.0 END"
@@ -105,9 +122,9 @@ SQL = {
     "n5_cosine_rerank": f"WITH {_VECTORS}, {_near('i', 20)}, found AS (SELECT query_id, vec_id, v, rank AS discovery FROM i) {_rerank('found', 5)}",
     "n6_associative": f"{_ASSOCIATIVE} {_rerank('found', 5)}",
     "n6_candidates": f"{_ASSOCIATIVE} SELECT query_id, count(*) AS candidates FROM found GROUP BY query_id",
-    "n7_hybrid": f"WITH {_VECTORS}, {_near('i', 5)}, {_near('c', 5, where='label % 2 = 0')} SELECT query_id, {_CHUNK} AS chunk_id FROM i UNION SELECT query_id, {_CHUNK} FROM c",
+    "n7_hybrid": f"WITH {_VECTORS}, {_MEANS}, {_near('i', 5)}, {_near('c', 5, corpus='cv')} SELECT query_id, {_CHUNK} AS chunk_id FROM i UNION SELECT query_id, {_CHUNK} FROM c",
     "n8_baseline": f"WITH {_VECTORS}, {_near('i', 5)} SELECT query_id, rank, doc_id, title FROM i JOIN documents ON doc_id = vec_id",
-    "u1_chunk_list": f"""WITH {_VECTORS}, {_near('i', 20)}, {_near('c', 10, where='label % 2 = 0')},
+    "u1_chunk_list": f"""WITH {_VECTORS}, {_MEANS}, {_near('i', 20)}, {_near('c', 10, corpus='cv')},
         b AS (SELECT query_id, 0 AS source, rank, {_CHUNK} AS chunk_id FROM i UNION ALL SELECT query_id, 1, rank, {_CHUNK} FROM c),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY source, rank) AS n FROM b)
         SELECT query_id, CAST(r AS INTEGER) AS rank, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY source, rank, chunk_id) AS r FROM o WHERE n = 1) WHERE r <= 5""",
@@ -129,7 +146,7 @@ SQL = {
     "d19_truncated": "SELECT doc_id, md5(substr(text, 1, 2048)) AS embed_md5, md5(substr(text, 1, 4000)) AS extract_md5 FROM documents",
     "d20_contexts": f"""WITH {_SOURCES}, {_CHUNKS} SELECT prediction_id, md5(string_agg('Passage ' || CAST(pos + 1 AS VARCHAR) || ' (ID: ' || src.chunk_id || ', From Document: ' || coalesce(doc_id, 'unknown') || ', Title: ' || coalesce(src.title, 'none') || '):' || chr(10) || coalesce(chunk_text, ''), chr(10) || chr(10) ORDER BY pos)) AS context_md5
         FROM src LEFT JOIN chunks USING (chunk_id) GROUP BY prediction_id""",
-    "d22_previews": f"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN '{T.NO_PREVIEW}' ELSE substr(text, 1, 150) || '...' END AS preview FROM documents",
+    "d22_previews": f"SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN '{_NO_PREVIEW}' ELSE substr(text, 1, 150) || '...' END AS preview FROM documents",
     "u4_citations": f"WITH {_SOURCES} SELECT prediction_id, CAST(pos AS INTEGER) AS pos, doc_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id, doc_id ORDER BY pos, chunk_id) AS r FROM src WHERE doc_id <> '') WHERE r = 1",
     "f1_normalized": f"WITH {_PREDICTIONS} SELECT prediction_id, array_to_string({_tokens('predicted_answer')}, ' ') AS predicted, array_to_string({_tokens('ground_truth_answer')}, ' ') AS gold FROM p",
     "f2_token_counts": f"SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS tokens, CAST(len(w) AS INTEGER) AS words, len(w) > 300 AS too_long FROM (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents)",
@@ -169,4 +186,19 @@ SQL = {
         c AS (SELECT entity_text, pos, count(*) AS n FROM w GROUP BY 1, 2) SELECT entity_text, CAST(pos AS INTEGER) AS pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY entity_text)), 4) AS value FROM c""",
     "x6_extracted": """SELECT entity, CASE WHEN contains(entity, ' ') THEN 'PERSON' ELSE 'MISC' END AS type, count(*) AS documents FROM (
         SELECT DISTINCT doc_id, unnest(regexp_extract_all(substr(text, 1, 4000), '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS entity FROM documents) GROUP BY 1, 2""",
+    "f13_tolerant": "SELECT id, array_to_string(regexp_extract_all('- ' || entity_text, '(?m)^\\s*-\\s+(.+)$', 1), '|') AS found FROM traces WHERE entity_text <> ''",
+    "x6_extracted_whole": """SELECT entity, CASE WHEN contains(entity, ' ') THEN 'PERSON' ELSE 'MISC' END AS type, count(*) AS documents FROM (
+        SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS entity FROM documents) GROUP BY 1, 2""",
+    "x8_answers": f"""SELECT query_id, 'entity ' || CAST(vec_id AS VARCHAR) AS answer, 6 AS parts FROM ({_ASSOCIATIVE} {_rerank('found', 5)}) WHERE rank = 1""",
+    "t0_index_sizes": f"""WITH fresh AS (WITH {_MANIFEST} SELECT * FROM documents d WHERE NOT {_blank('text')} AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = d.doc_id AND m.h = md5(coalesce(d.text, '')))),
+        c AS ({_split(True, "fresh", "c")}), t AS (SELECT count(*) AS n, CAST(sum(len(list_distinct(regexp_extract_all(c, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')))) AS BIGINT) AS e FROM c)
+        SELECT 'chunks' AS part, n AS rows FROM t UNION ALL SELECT 'traces', e FROM t UNION ALL SELECT 'edges', e FROM t UNION ALL SELECT 'manifest', count(*) FROM fresh""",
+    "t0_engine": f"""WITH d AS (SELECT text FROM documents WHERE NOT {_blank('text')}), t AS (SELECT count(*) AS n, CAST(sum(len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')))) AS BIGINT) AS e FROM d)
+        SELECT unnest(['chunks', 'traces', 'edges', 'manifest', 'trace_vectors', 'chunk_vectors']) AS part, unnest([n, e, e, n, e, n]) AS rows FROM t""",
+    "t0_baseline": f"SELECT unnest(['chunks', 'manifest', 'chunk_vectors']) AS part, unnest([n, n, n]) AS rows FROM (SELECT count(*) AS n FROM documents WHERE NOT {_blank('text')})",
+    "u4_citations_raw": f"""WITH {_SOURCES}, b AS (SELECT prediction_id, doc_id, chunk_id, pos, CASE WHEN pos < 2 THEN 0 ELSE 1 END AS s FROM src WHERE doc_id <> ''),
+        f AS (SELECT *, row_number() OVER (PARTITION BY prediction_id, doc_id ORDER BY s, pos, chunk_id) AS n FROM b)
+        SELECT prediction_id, doc_id AS source_doc_id, chunk_id, CAST(row_number() OVER (PARTITION BY prediction_id ORDER BY s, pos, chunk_id) AS INTEGER) AS rank FROM f WHERE n = 1""",
+    "a8_wide": f"WITH {_SCORED} SELECT top_k, round(sum(em) / count(*), 6) AS exact_match, round(sum(f1) / count(*), 6) AS f1_score FROM scored GROUP BY top_k",
+    "f20_cues": f"WITH {_PREDICTIONS} SELECT prediction_id, array_to_string(w, '|') AS cues FROM (SELECT prediction_id, list_filter(m, lambda x, i: NOT list_contains(list_slice(m, 1, i - 1), x)) AS w FROM (SELECT prediction_id, regexp_extract_all(coalesce(question, ''), '[A-Z][a-z]+(?: [A-Z][a-z]+)*') AS m FROM p))",
 }
