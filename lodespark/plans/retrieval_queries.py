@@ -391,11 +391,6 @@ def _extracted(text: F.Column, docs: DataFrame) -> DataFrame:
 
 
 def x6_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What one call of a model finds: the SQL reads no more of a text."""
-    return _extracted(F.substring("text", 1, models.EXTRACT_CHARS), table(spark, sf_dir, "documents"))
-
-
-def x6_extracted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(F.col("text"), table(spark, sf_dir, "documents"))
 
 
@@ -460,6 +455,6 @@ _ALL = (
     j3_new_by_id, j6_gold_answers, j7_lookup, k4_graph_nodes, k4_graph_edges, a10_graph_counts, d9_valid_documents, d11_chunks_compat, d11_chunks_clean, d13_whole_documents, d14_recursive_chunks,
     d16_entity_text, d17_trace_defaults, d19_truncated, d20_contexts, d22_previews, u4_citations, f1_normalized, f2_token_counts, f4_scores, f5_rouge, f7_digests, f11_salvaged, f13_tolerant, f14_types,
     f15_importance, f16_answers, l4_budget, l6_first_predictions, a1_sweep, a2_tokens, a6_retrieval, a7_analysis, a7_extremes, a8_runs, t1_accesses, t2_statuses, t3_memory, s4_data_points, d6_documents,
-    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, x6_extracted_whole, t0_index_sizes, x8_answers, t0_engine, t0_baseline, u4_citations_raw, a8_wide, f20_cues,
+    d7_question_documents, d3_hops, d1_pair_chunks, d5_supporting, d4_evidences, d2_paragraphs, x2_embedded, x6_extracted, t0_index_sizes, x8_answers, t0_engine, t0_baseline, u4_citations_raw, a8_wide, f20_cues,
 )
 QUERIES = {f.__name__: f for f in _ALL}

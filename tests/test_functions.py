@@ -105,6 +105,9 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(V.nearest(asked, corpus, 4).collect())
     monkeypatch.setattr(V, "BLOCK_NUMBERS", 10)
     assert sorted(V.nearest(asked, corpus, 4).collect()) == whole
+    monkeypatch.setattr(V, "CELLS", 7)
+    assert sorted(V.nearest(asked, corpus, 4).collect()) == whole
+    assert V.nearest(asked, corpus.limit(0), 4).count() == 0
 
 
 def test_cosine_of_nothing(spark):
@@ -139,3 +142,38 @@ def test_status_filter_can_be_exact(spark):
     asked = spark.createDataFrame([(0, [0.0, 1.0])], "query_id long, query_vector array<float>")
     assert retrieve.with_status(asked, corpus, 2, ["active"]).count() == 0
     assert [(r["rank"], r["vec_id"]) for r in retrieve.with_status(asked, corpus, 2, ["active"], overfetch=None).orderBy("rank").collect()] == [(1, 18), (2, 19)]
+
+
+def test_distances_held_at_once_are_bounded(monkeypatch):
+    rng = np.random.default_rng(1)
+    queries, rows = rng.normal(size=(50, 4)), rng.normal(size=(1000, 4))
+    sizes = []
+    monkeypatch.setattr(V, "CELLS", 500)
+    best, real = V._Best(queries, 3), V._Best._add
+    monkeypatch.setattr(V._Best, "_add", lambda self, ids, v: (sizes.append(len(ids) * len(self.queries)), real(self, ids, v))[1])
+    best.add(np.arange(1000), rows)
+    assert max(sizes) <= 500 and sum(sizes) == 50_000
+    exact = ((queries[:, None] - rows[None]) ** 2).sum(axis=2).argsort(axis=1)[:, :3]
+    assert (best.ids == exact).all()
+
+
+def test_hot_texts_are_joined_apart(spark):
+    df = spark.createDataFrame([(i, "hot text" if i % 2 else f"word{i}") for i in range(400)] + [(900, None), (901, "")], "i long, t string")
+    got = {r["i"]: r["embedding"] for r in models.embed_texts(df, "t", models.HashEmbedder(32)).collect()}
+    want = models.HashEmbedder(32)
+    assert len(got) == 402 and sum(got[900]) == 0 and sum(got[901]) == 0
+    for i in range(400):
+        assert got[i] == pytest.approx(want.embed(["hot text" if i % 2 else f"word{i}"])[0])
+
+
+def test_cache_retries_and_tolerant_objects(spark):
+    cached = models.CachedEmbedder(models.HashEmbedder(8), capacity=2)
+    first = cached.embed(["a", "b", "a"])
+    assert first[0] == first[2] and cached.embed(["b"]) == [first[1]] and cached.embed(["c", "a"])[1] == first[0]
+    assert cached.stats() == {"size": 2, "capacity": 2, "hits": 3, "misses": 3, "hit_rate": 0.5}
+    said = iter(["", "yes"])
+    assert models.with_retries(lambda: next(said), attempts=2, delay=0, wanted=bool) == "yes"
+    text = 'see [1] and [{"text": "A", "type": "ORG", "description": "d", "importance_score": 5}] or [x'
+    assert [tuple(e) for e in one(spark, T.tolerant_objects(F.col("t")), t=text)] == [("A", "ORG", "d", 5.0)]
+    assert [tuple(e) for e in one(spark, T.tolerant_objects(F.col("t")), t="- one")] == [("one", "MISC", "", 3.0)]
+    assert one(spark, T.tolerant_objects(F.col("t")), t="nothing") is None
