@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodespark.llm import leakage
 from lodespark.llm.words import words
 
@@ -63,3 +65,28 @@ def test_spans_are_removed(spark):
     d, t = tables(spark, [(1, f"Before it. {leak.upper()}! After İt. {leak}"), (2, "clean")], [(7, leak, None)])
     rows = leakage.remove_leaks(d.drop("item_id", "windows"), "doc_id", "text", t, "item_id", ["question", "passage"]).collect()
     assert [(r["doc_id"], r["spans"]) for r in rows] == [(1, 2)] and "leak3" not in rows[0]["clean"].lower() and "efore it. !" in rows[0]["clean"]
+
+
+def test_join_gives_the_windows_of_the_scan(spark, monkeypatch):
+    docs, items = case(5)
+    d, t = tables(spark, docs, items)
+    rows = lambda: sorted((str(r["doc_id"]), r["item_id"], tuple(r["windows"])) for r in leakage.leaks(d, "doc_id", "text", t, "item_id", ["question", "passage"]).collect())
+    scanned = rows()
+    monkeypatch.setattr(leakage, "MAX_CHARS", 10)
+    # A full filter costs time only.
+    for bits in (1 << 26, 1 << 10):
+        monkeypatch.setattr(leakage, "MAX_BITS", bits)
+        assert rows() == scanned
+    assert leakage.leaks(d.limit(0), "doc_id", "text", t, "item_id", ["question", "passage"]).count() == 0
+
+
+def test_a_million_items_take_one_scan(spark):
+    word = lambda x, m: F.concat(F.lit("w"), F.pmod(F.xxhash64(x, F.lit(m)), F.lit(1_000_000)).cast("string"))
+    text = F.concat_ws(" ", *[word("id", i) for i in range(13)])
+    items = spark.range(0, 1_000_000, 1, 8).select(F.col("id").alias("item_id"), text.alias("question"), F.lit(None).cast("string").alias("passage"))
+    docs = spark.range(0, 2_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("before all "), F.when(F.col("id") % 2 == 0, text).otherwise(F.lit("nothing of it")), F.lit(" and after")).alias("text"))
+    found = leakage.leaks(docs, "doc_id", "text", items, "item_id", ["question", "passage"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 2000") == 1
+    got = {(r["doc_id"], r["item_id"], tuple(r["windows"])) for r in found.collect()}
+    assert got == {(i, i, (2, 3)) for i in range(0, 2_000, 2)}
