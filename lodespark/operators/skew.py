@@ -1,8 +1,8 @@
 """Per-key results over keys of which a handful hold most rows.
 
 Multi-level tree aggregation. The input is read as chunks of a fixed number of rows. Level 0 combines each chunk
-locally (Spark's map-side aggregation, one state per key and chunk). Every further level merges the states of ``fan_in``
-neighbouring chunks, so that after the logarithm of the number of chunks no key has more than ``fan_in`` states left
+locally (Spark's map-side aggregation, one state per key and chunk). Chunks are spread evenly over slots, and every further level merges the states
+of ``fan_in`` slots, so that after the logarithm of the number of chunks no key has more than ``fan_in`` states left
 and the last merge of even the heaviest key reads only those. No reducer ever receives all partials of a hot key.
 """
 
