@@ -375,6 +375,7 @@ def garbled(docs: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append((k, restored, LOST in restored))
             yield pd.DataFrame(rows, columns=["k", "restored", "lossy"])
 
-    suspect = F.col("t").rlike(f"{_ODD}|{_ENTITY}|{_INSIDE}")
+    # ASCII characters are passed over before the larger classes are tried.
+    suspect = F.col("t").rlike(rf"(?=[^\x00-\x7F])(?:{_ODD}|{_INSIDE})|{_ENTITY}")
     given = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where(suspect)
     return given.mapInPandas(search, "k string, restored string, lossy boolean").select(F.col("k").cast(kind).alias(key), "restored", "lossy")
