@@ -34,6 +34,8 @@ _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|"([^"\\\x00-\x1f]*)"|(")|(-?(?:0
 _BLANK = re.compile(r"[ \t\n\r]*")
 _OPENS = re.compile(r"[ \t\n\r]*[{\[]")
 _INTEGER = re.compile(r"-?\d+")
+#: Half a character, which escapes can write and no text can hold; it is read as a replacement character.
+_HALF = re.compile("[\ud800-\udfff]")
 
 #: (kind, group, leaf, value, ordinal)
 Triple = tuple[str, int, str, "str | None", int]
@@ -67,7 +69,7 @@ def events(text: str) -> Iterator[tuple[str, str | None, int]]:
             yield "s", plain, at
         elif quote is not None:
             value, at = scanstring(text, at)
-            yield "s", value, at
+            yield "s", _HALF.sub("\ufffd", value), at
         else:
             yield "l", literal, at
     if _BLANK.match(text, at).end() != n:

@@ -106,3 +106,8 @@ def test_lines_of_one_key_and_unreadable_lines(spark):
     df = spark.createDataFrame(lines, "line_no long, line string")
     got = {tuple(r) for r in nested.unreadable(df, "line_no", "line").collect()}
     assert got == {(2, "null"), (3, "blank"), (4, "no object"), (5, "no object"), (6, "no whole JSON"), (None, "no whole JSON")}
+
+
+def test_halves_of_characters_do_not_break(spark):
+    line = '{"chunks": [{"id": "a\\ud83d", "title": "\\ud83d\\ude00", "chunk": "\\u0000"}], "supporting_facts": [["\\ud83d\\ude00", 1]]}'
+    assert {r[1:] for r in found(spark, [(1, line, "", "", "")])} == {("chunk", "0", "a\ufffd"), ("supporting_fact", "0", "a\ufffd")}
