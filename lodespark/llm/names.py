@@ -21,7 +21,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -56,8 +56,8 @@ RARE_FIRSTS = 12
 SUPPORT, CONFIDENCE = 2, 0.5
 #: Rare surnames by which a first name is established, and the share of them with any one other name up to which it stands for itself.
 ESTABLISHED, ALONE = 5, 0.15
-#: Learned first names are found with at least one in this many rare surnames, which bounds their number (at most RARE_FIRSTS times this).
-LEARNED = 20_000
+#: Parts of a person's name, particles left out, at most.
+MAX_PARTS = 5
 
 # Spellings of the entity types, titles, legal forms, abbreviations and pet names.
 PERSON_TYPES = ("PERSON", "PEOPLE", "INDIVIDUAL", "HUMAN")
@@ -167,6 +167,12 @@ class FirstNames:
     fulls: dict[str, frozenset[str]] = field(default_factory=dict)
     own: frozenset[str] = frozenset()
 
+    @classmethod
+    def of(cls, told: Iterable[str]) -> FirstNames:
+        """From what ``learn_first_names`` tells: a form with its full names behind it, or a name alone that stands for itself."""
+        words = [t.split(" ") for t in told]
+        return cls({w[0]: frozenset(w[1:]) for w in words if len(w) > 1}, frozenset(w[0] for w in words if len(w) == 1))
+
     def full(self, name: str) -> frozenset[str]:
         learned = self.fulls.get(name)
         listed = IRREGULAR.get(name)
@@ -276,7 +282,7 @@ def person(name: tuple[str, ...]) -> tuple[str, ...] | None:
     """The parts of a person's name, particles left out, of which at least one is no initial; None for other names."""
     parts = tuple(t for t in name if t not in PARTICLES) if len(name) > 2 else name
     long = sum(len(t) > 1 for t in parts)
-    return parts if 2 <= len(parts) <= 5 and long >= 1 and not any(t.isdigit() for t in parts) and (len(parts) == 2 or len(parts[-1]) > 1) else None
+    return parts if 2 <= len(parts) <= MAX_PARTS and long >= 1 and not any(t.isdigit() for t in parts) and (len(parts) == 2 or len(parts[-1]) > 1) else None
 
 
 def bare(name: tuple[str, ...]) -> bool:
@@ -380,24 +386,35 @@ def heads_of(names: DataFrame) -> DataFrame:
     return keyed.groupBy("name").agg(F.min(F.struct("text", "tokens")).alias("h")).select("h.text", "h.tokens", "name")
 
 
-def learn_first_names(heads: DataFrame) -> FirstNames:
-    """First names by their rare surnames, over all names of two parts, of which the last is mostly the surname.
+def learn_first_names(heads: DataFrame) -> DataFrame:
+    """(token, told): first names by their rare surnames, over all names of two parts, of which the last is mostly the surname.
 
-    What comes to the driver is bounded: a name is learned or established by at least one in ``LEARNED`` rare surnames.
+    ``told`` is the name with the full names it is a form of behind it, or the name alone if it is established in its own
+    right. The number of surnames that tell of a name does not grow with the number of names.
     """
     both = heads.where((F.size("tokens") == 2) & F.forall("tokens", lambda t: F.length(t) > 1)).select(F.col("tokens")[1].alias("s"), F.col("tokens")[0].alias("f")).distinct()
     rare = both.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= RARE_FIRSTS).select("s")
     kept = cut(both.join(rare, "s").groupBy("s").agg(F.array_sort(F.collect_set("f")).alias("fs")))
     surnames = kept.count()
-    least = max(SUPPORT, -(-surnames // LEARNED))
-    singles = kept.select(F.explode("fs").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    singles = kept.select(F.explode("fs").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
     pairs = kept.select(F.explode("fs").alias("p"), "fs").select("p", F.explode("fs").alias("f")).where("p <> f").groupBy("p", "f").agg(F.count(F.lit(1)).alias("co"))
     known = singles.join(pairs, "p", "left").join(singles.select(F.col("p").alias("f"), F.col("n").alias("m")), "f", "left")
     # A form is rarer than its full name, and the two are together far more often than by chance.
-    form = (F.col("co") >= least) & (F.col("co") >= CONFIDENCE * F.col("n")) & (F.col("m") > F.col("n")) & (F.col("co") * float(max(1, surnames)) >= 5.0 * F.col("n") * F.col("m"))
+    form = (F.col("co") >= SUPPORT) & (F.col("co") >= CONFIDENCE * F.col("n")) & (F.col("m") > F.col("n")) & (F.col("co") * float(max(1, surnames)) >= 5.0 * F.col("n") * F.col("m"))
     summed = known.groupBy("p", "n").agg(F.max(F.coalesce("co", F.lit(0))).alias("most"), F.collect_set(F.when(form, F.col("f"))).alias("fulls"))
-    told = summed.where((F.size("fulls") > 0) | ((F.col("n") >= max(ESTABLISHED, least)) & (F.col("most") <= ALONE * F.col("n")))).collect()
-    return FirstNames({r["p"]: frozenset(r["fulls"]) for r in told if r["fulls"]}, frozenset(r["p"] for r in told if not r["fulls"]))
+    told = summed.where((F.size("fulls") > 0) | ((F.col("n") >= ESTABLISHED) & (F.col("most") <= ALONE * F.col("n"))))
+    return told.select(F.col("p").alias("token"), F.concat_ws(" ", "p", F.array_sort("fulls")).alias("told"))
+
+
+def with_told(heads: DataFrame, told: DataFrame) -> DataFrame:
+    """(text, tokens, told): names with what ``told`` (token, told) has of their tokens, null if it has nothing.
+
+    It goes with the names instead of to every executor, as the number of first names has no bound.
+    """
+    # Only persons are asked about, and their names have few parts.
+    few = heads.where(F.size(F.array_except("tokens", F.array(*(F.lit(p) for p in sorted(PARTICLES))))) <= MAX_PARTS)
+    asked = few.select("text", F.explode(F.array_distinct("tokens")).alias("token")).join(told, "token")
+    return heads.select("text", "tokens").join(asked.groupBy("text").agg(F.collect_list("told").alias("told")), "text", "left")
 
 
 def _tally(keyed: DataFrame) -> np.ndarray:
@@ -455,18 +472,18 @@ def links(names: DataFrame, common_share: float = COMMON_SHARE) -> DataFrame:
     least = max(4, int(common_share * total))
     # A token that at least this share of names hold: there are at most (tokens of a name / share) of them.
     common = heads.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").count().where(F.col("count") >= least).select("t").toArrow()["t"].to_pylist()
-    shared = spark.sparkContext.broadcast((counts, frozenset(common), learn_first_names(heads)))
+    shared = spark.sparkContext.broadcast((counts, frozenset(common)))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known, first = shared.value
-        matcher = Matcher(known, first)
+        table, known = shared.value
+        matcher = Matcher(known)
         for batch in batches:
-            keys = [block_keys(tuple(n), table, matcher.organisation(tuple(n)), first) for n in batch.column(1).to_pylist()]
+            keys = [block_keys(tuple(n), table, matcher.organisation(tuple(n)), FirstNames.of(t or ())) for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in keys]))
             flat = np.array([k for row in keys for k in row], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "text", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(c.take(at) for c in batch.columns)], ["key", "text", "tokens", "told"])
 
-    rows = cut(heads.select("text", "tokens").mapInArrow(keyed, "key bigint, text string, tokens array<string>"))
+    rows = cut(with_told(heads, learn_first_names(heads)).mapInArrow(keyed, "key bigint, text string, tokens array<string>, told array<string>"))
     tallied = spark.sparkContext.broadcast(_tally(rows))
     buckets = max(8, -(-total * 8 // BUCKET_NAMES))
 
@@ -482,10 +499,11 @@ def links(names: DataFrame, common_share: float = COMMON_SHARE) -> DataFrame:
             cell = low * (1 << 20) + high
             bucket = ((key[at] >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + cell.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)
             take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array((bucket % np.uint64(buckets)).astype(np.int32)), pa.array(cell), pa.array(mine[at] == high), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], ["bucket", "cell", "upper", "key", "text", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array((bucket % np.uint64(buckets)).astype(np.int32)), pa.array(cell), pa.array(mine[at] == high), *(c.take(take) for c in batch.columns)], ["bucket", "cell", "upper", "key", "text", "tokens", "told"])
 
     def compare(part: pa.Table) -> pa.Table:
-        _, known, first = shared.value
+        known = shared.value[1]
+        first = FirstNames.of({t for told in part["told"].to_pylist() for t in told or ()})
         matcher, seen, found = Matcher(known, first), set(), []
         blocks: dict[tuple[int, int], list[tuple[str, tuple[str, ...], bool]]] = {}
         for key, cell, upper, text, name in zip(*(part[c].to_pylist() for c in ("key", "cell", "upper", "text", "tokens")), strict=True):
@@ -513,7 +531,7 @@ def links(names: DataFrame, common_share: float = COMMON_SHARE) -> DataFrame:
         found = list(dict.fromkeys(found))
         return pa.table({"a": pa.array([p[0] for p in found], pa.string()), "b": pa.array([p[1] for p in found], pa.string())})
 
-    cells = rows.mapInArrow(dealt, "bucket int, cell bigint, upper boolean, key bigint, text string, tokens array<string>")
+    cells = rows.mapInArrow(dealt, "bucket int, cell bigint, upper boolean, key bigint, text string, tokens array<string>, told array<string>")
     between = cells.groupBy("bucket").applyInArrow(compare, "a string, b string").distinct()
     # Texts of the same tokens are linked in a star; only one of each is compared with others.
     others = names.withColumn("name", F.array_join(F.array_sort("tokens"), " ")).select(F.col("text").alias("b"), "name")

@@ -121,6 +121,41 @@ def test_unlisted_forms_are_learned(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.1 * len(want)
 
 
+def strangers(n):
+    """``n`` names of which no two have a token in common or a similar one."""
+    rng = random.Random(11)
+    return list(dict.fromkeys(f"{''.join(rng.choices('bcdfghklmnprstvwz', k=9)).title()} {''.join(rng.choices('abcdefghijklmnoprstuvwyz', k=14)).title()}" for _ in range(n)))
+
+
+def test_unlisted_forms_are_learned_in_tables_of_any_size(spark):
+    # A form found with two rare surnames, and one full name that three have.
+    rows = ["Kemidal Bandrelik", "Wuxo Bandrelik", "Kemidal Tosminarg", "Wuxo Tosminarg", "Kemidal Furgolant"]
+    want = {("Kemidal Bandrelik", "Wuxo Bandrelik"), ("Kemidal Tosminarg", "Wuxo Tosminarg")}
+    for n in (40, 41_000):
+        df = spark.createDataFrame([(t, "PERSON") for t in rows + strangers(n)], "entity_text string, entity_type string").repartition(8)
+        assert want == {tuple(r) for r in N.same_entity_pairs(df, "entity_text", "entity_type").where("text_b like 'Wuxo %' or text_a like 'Wuxo %' or text_a like 'Kemidal %'").collect()}, n
+
+
+def test_what_is_told_of_first_names_does_not_depend_on_the_size(spark):
+    # Two forms of one name, by two surnames each, and a name of its own with five surnames.
+    rows = [["kemidal", s] for s in ("bandrelik", "tosminarg", "furgolant", "hispodern", "quilmatov")] + [["wuxo", "bandrelik"], ["wuxo", "tosminarg"], ["zofy", "furgolant"], ["zofy", "hispodern"]]
+    rows += [["otrivel", f"{a}lsomp"] for a in "bdfgk"]
+    seen = spark.createDataFrame([(" ".join(t), t) for t in rows], "text string, tokens array<string>")
+    for n in (60, 101_000):
+        others = spark.range(n).selectExpr("concat('x', id, ' ', 'y', id) text", "array(concat('x', id), concat('y', id)) tokens")
+        got = {r["token"]: r["told"] for r in N.learn_first_names(seen.unionByName(others)).collect()}
+        assert got == {"wuxo": "wuxo kemidal", "zofy": "zofy kemidal", "otrivel": "otrivel"}, n
+
+
+def test_what_is_told_goes_with_the_names(spark):
+    names = [["bo", "smith"], ["anna", "van", "der", "bo"], ["y", "k"], ["world", "food", "and", "bo", "fruit", "fund", "fair"]]
+    heads = spark.createDataFrame([(" ".join(t), t) for t in names], "text string, tokens array<string>")
+    told = spark.createDataFrame([("bo", "bo robert albert"), ("anna", "anna")], "token string, told string")
+    got = {r["text"]: r["told"] and sorted(r["told"]) for r in N.with_told(heads, told).collect()}
+    assert got == {"bo smith": ["bo robert albert"], "anna van der bo": ["anna", "bo robert albert"], "y k": None, "world food and bo fruit fund fair": None}
+    assert N.FirstNames.of(["bo robert albert", "anna"]) == N.FirstNames({"bo": frozenset({"robert", "albert"})}, frozenset({"anna"}))
+
+
 def test_common_tokens_cost_little(spark):
     """Recall of the share from which tokens count as common, against no common tokens at all."""
     names = N.cut(N.names_of(traces(spark, [(f"{f} Fisteremiboth", "PERSON") for f in ("Anna", "Karl", "Peter", "Hugo", "Nora")]), "entity_text", "entity_type"))
